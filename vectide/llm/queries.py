@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectide.llm import mixing, token_counts
+from vectide.llm import chats, hamming, mixing, secrets, token_counts
 from vectide.llm.common import table
 
 
@@ -14,13 +14,58 @@ def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).cast("long").alias("taken"))
 
 
+def op3_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest sign codes of every hundredth vector, itself included."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), hamming.sign_code(F.col("embedding")).alias("code"))
+    return hamming.top_k(rows, rows.filter("id % 100 = 0"), 10)
+
+
+def op7_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chats.maximal_chats(table(spark, sf_dir, "conversations"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = token_counts.token_counts(table(spark, sf_dir, "documents"))
     return rows.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = secrets.find_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["rank"] < len(secrets.BASE_KINDS))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return rows.select("doc_id", *map(count, secrets.BASE_KINDS), F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
+
+
 QUERIES: dict = {
     "op2_mix": op2_mix,
+    "op3_hamming_top_k": op3_hamming_top_k,
+    "op7_chats": op7_chats,
     "op8_token_counts": op8_token_counts,
+    "op9_secrets": op9_secrets,
+}
+
+ORACLES: dict = {
+    "op3_hamming_top_k": """
+        WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x > 0) AS bits FROM embeddings),
+        d AS (
+            SELECT q.vec_id AS query_id, e.vec_id AS neighbour_id,
+                   CAST(list_sum(list_transform(list_zip(q.bits, e.bits), lambda p: CASE WHEN p[1] <> p[2] THEN 1 ELSE 0 END)) AS INTEGER) AS distance
+            FROM e q, e WHERE q.vec_id % 100 = 0
+        )
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, neighbour_id, distance
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id) AS rank FROM d)
+        WHERE rank <= 10
+    """,
+    "op7_chats": """
+        WITH t AS (
+            SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, coalesce(role, 'unknown'), coalesce(text, '')) AS pos,
+                   '<|im_start|>' || coalesce(role, 'unknown') || chr(10) || replace(coalesce(text, ''), '<|', '< |') || '<|im_end|>' || chr(10) AS shown,
+                   {'role': coalesce(role, 'unknown'), 'text': coalesce(text, '')} AS said
+            FROM conversations
+        ),
+        c AS (SELECT conv_id, count(*) AS n, list(said ORDER BY pos) AS turns, string_agg(shown, '' ORDER BY pos) AS chat FROM t GROUP BY conv_id),
+        u AS (SELECT turns, min(conv_id) AS conv_id, min(n) AS n_turns, count(*) AS n_copies, min(chat) AS chat FROM c GROUP BY turns),
+        p AS (SELECT DISTINCT turns[1:k] AS turns FROM (SELECT turns, unnest(range(1, n_turns)) AS k FROM u))
+        SELECT conv_id, n_turns, n_copies, chat FROM u WHERE turns NOT IN (SELECT turns FROM p)
+    """,
 }
-ORACLES: dict = {}
