@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectide.llm import chats, hamming, mixing, secrets, token_counts
+from vectide.llm import chats, hamming, mixing, ngram_join, secrets, token_counts
 from vectide.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op3_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming.top_k(rows, rows.filter("id % 100 = 0"), 10)
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op7_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chats.maximal_chats(table(spark, sf_dir, "conversations"))
 
@@ -39,6 +43,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict = {
     "op2_mix": op2_mix,
     "op3_hamming_top_k": op3_hamming_top_k,
+    "op6_ngram_join": op6_ngram_join,
     "op7_chats": op7_chats,
     "op8_token_counts": op8_token_counts,
     "op9_secrets": op9_secrets,
