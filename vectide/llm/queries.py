@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectide.llm import chats, hamming, mixing, ngram_join, secrets, token_counts
+from vectide.llm import chats, hamming, mixing, ngram_join, pieces, quality, secrets, token_counts
 from vectide.llm.common import table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.mix_plan(table(spark, sf_dir, "documents"), keep=False)
     return rows.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).cast("long").alias("taken"))
@@ -20,6 +24,10 @@ def op3_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming.top_k(rows, rows.filter("id % 100 = 0"), 10)
 
 
+def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trips(table(spark, sf_dir, "documents"))
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(table(spark, sf_dir, "documents"), words=3, percent=90)
 
@@ -41,8 +49,10 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict = {
+    "op1_quality": op1_quality,
     "op2_mix": op2_mix,
     "op3_hamming_top_k": op3_hamming_top_k,
+    "op4_pieces": op4_pieces,
     "op6_ngram_join": op6_ngram_join,
     "op7_chats": op7_chats,
     "op8_token_counts": op8_token_counts,
