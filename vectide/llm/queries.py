@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectide.llm import chats, hamming, mixing, ngram_join, pieces, quality, secrets, token_counts
+from vectide.llm import chats, hamming, mixing, ngram_join, pieces, quality, secrets, spots, token_counts
 from vectide.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trips(table(spark, sf_dir, "documents"))
 
 
+def op5_spots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spots.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(table(spark, sf_dir, "documents"), words=3, percent=90)
 
@@ -53,6 +57,7 @@ QUERIES: dict = {
     "op2_mix": op2_mix,
     "op3_hamming_top_k": op3_hamming_top_k,
     "op4_pieces": op4_pieces,
+    "op5_spots": op5_spots,
     "op6_ngram_join": op6_ngram_join,
     "op7_chats": op7_chats,
     "op8_token_counts": op8_token_counts,
