@@ -1,5 +1,7 @@
 import hashlib
 import random
+from collections import Counter
+from itertools import islice
 
 import pytest
 import regex
@@ -10,14 +12,16 @@ ANCHORS = set(spots.ANCHORS)
 
 
 def plain(text):
-    words = regex.sub(r"[^\p{L}\p{N}]+", " ", text.lower()).strip(" ").split(" ")
-    words = [w for w in words if w]
-    out = set()
-    spot = [("^", 0)] + [(w, k + 1) for k, w in enumerate(words) if w in ANCHORS]
-    for name, at in spot:
-        if at < len(words) and words[at] not in ANCHORS:
-            chain = [w for w in words[at:] if w not in ANCHORS][: spots.CHAIN]
-            out.add((name, *chain))
+    words = ["\u0002"]
+    for part in regex.split(r"([.!?\n\u0002]+)", text.lower()):
+        words += ["\u0002"] if regex.match(r"[.!?\n\u0002]", part) else regex.sub(r"[^\p{L}\p{N}]+", " ", part).split()
+    common = ANCHORS | {"\u0002"}
+    counts = Counter()
+    for at, w in enumerate(words):
+        if w in common and at + 1 < len(words) and words[at + 1] not in common:
+            chain = [x for x in islice((x for x in words[at + 1 :] if x not in common), spots.CHAIN)]
+            counts[(w, *chain)] += 1
+    out = {(s, k) for s, n in counts.items() for k in range(n.bit_length())}
     return out or ({text} if text else set())
 
 
@@ -27,14 +31,14 @@ def jaccard(a, b):
 
 def texts(n, seed=1):
     rng = random.Random(seed)
-    vocabulary = ["the", "of", "la", "une", "Der", *[f"word{i}" for i in range(60)], "É!", "日本", "🙂"]
+    vocabulary = ["the", "of", "la", "une", "Der", *[f"word{i}" for i in range(60)], "É!", "日本", "🙂", "end.", "a\nb"]
     out = []
     for _ in range(n):
         if out and rng.random() < 0.3:
             out.append(rng.choice(out) + rng.choice(["", " the end", "x"]))
         else:
             out.append(" ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 80))))
-    return [*out, "", None, "the of", "!!!", "the " * 20_000, "x" * 100_000]
+    return [*out, "", None, "the of", "!!!", "the " * 20_000, "x" * 100_000, "the cat sat. " * 300, "a" + "\n" * 5000 + "b"]
 
 
 def test_against_plain_version(spark):

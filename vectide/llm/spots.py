@@ -1,9 +1,11 @@
 """Document fingerprints by spot signatures, with DataFrame expressions only.
 
 A spot is a common word (an anchor) that a content word follows; its signature is the anchor and the
-chain of the next ``CHAIN`` content words, common words in between left out. The start of a text is a
-spot too. Of a run of anchors the last speaks for the run, so the work is linear in the text. The
-fingerprint is the sorted set of the signatures' 32-bit hashes, eight hex digits each.
+chain of the next ``CHAIN`` content words, common words in between left out. The start of a text, of a
+line and of a sentence are anchors too, so that texts with few common words have spots. Of a run of
+anchors the last speaks for the run, so the work is linear in the text. A signature found 2, 4, 8, ...
+times counts once more for each doubling, which keeps repetitive texts comparable. The fingerprint is
+the sorted set of the signatures' 32-bit hashes, eight hex digits each.
 
 Likeness is the Jaccard similarity of two sets. Sets whose length partitions (powers of 1/threshold)
 lie more than one apart can't reach the threshold, which prunes comparisons; ``near_duplicates``
@@ -30,7 +32,9 @@ ANCHORS = (
     "sich son su sur that the this to un una und une von was which with y zu"
 ).split()
 CHAIN = 2
-MARK = "\u0001"
+MARK, STOP = "\u0001", "\u0002"
+#: Doublings that are told apart.
+LEVELS = 20
 #: Rows of a bucket when documents are put in order; the ordering is by bucket, not in one partition.
 BUCKET_ROWS = 2_048
 BROADCAST_HEADS = 100_000
@@ -38,14 +42,22 @@ BROADCAST_HEADS = 100_000
 
 def signatures(text: Column) -> Column:
     """The sorted distinct signature hashes (32 bits, as long) of a text that isn't null."""
-    clean = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
-    marked = F.concat(F.lit(MARK + "^ "), F.regexp_replace(clean, "(?<![^ ])(?:" + "|".join(ANCHORS) + ")(?![^ ])", MARK + "$0"))
+    start = " " + MARK + "^ "
+    clean = F.regexp_replace(F.regexp_replace(F.lower(text), "[.!?\n]+", STOP), r"[^\p{L}\p{N}" + STOP + "]+", " ")
+    marked = F.regexp_replace(clean, "(?<![^ " + STOP + "])(?:" + "|".join(ANCHORS) + ")(?![^ " + STOP + "])", MARK + "$0")
+    marked = F.concat(F.lit(start), F.regexp_replace(marked, "[ " + STOP + "]*" + STOP + "[ " + STOP + "]*", start))
     # possessive repetition: no backtracking, and no recursion on long runs of anchors
-    spot = MARK + "(?=([^ ]+ [^ " + MARK + "][^ ]*(?:(?: " + MARK + "[^ ]+)*+ [^ " + MARK + "][^ ]*){0," + str(CHAIN - 1) + "}+))"
-    hash32 = lambda s: F.shiftrightunsigned(F.xxhash64(s), 32)
-    found = F.transform(F.regexp_extract_all(marked, F.lit(spot), F.lit(1)), lambda s: hash32(F.regexp_replace(s, " " + MARK + "[^ ]+", "")))
+    spot = MARK + "(?=([^ ]+ +[^ " + MARK + "][^ ]*(?:(?: +" + MARK + "[^ ]+)*+ +[^ " + MARK + "][^ ]*){0," + str(CHAIN - 1) + "}+))"
+    hash32 = lambda *s: F.shiftrightunsigned(F.xxhash64(*s), 32)
+    found = F.transform(F.regexp_extract_all(marked, F.lit(spot), F.lit(1)), lambda s: hash32(F.regexp_replace(F.regexp_replace(s, " +" + MARK + "[^ ]+", ""), " +", " ")))
+    runs = F.array(*[F.lit(1 << k) for k in range(LEVELS + 1)])
+    # in sorted order a signature's nth finding stands n - 1 places after its first
+    level = lambda all_, x, i: F.filter(F.sequence(F.lit(0), F.lit(LEVELS)), lambda k: F.get(all_, i + F.get(runs, k) - 1) == x)
+    first = lambda all_, x, i: (i == 0) | (F.get(all_, i - 1) != x)
+    counted = lambda all_: F.flatten(F.transform(all_, lambda x, i: F.when(first(all_, x, i), F.transform(level(all_, x, i), lambda k: F.when(k == 0, x).otherwise(hash32(x, k)))).otherwise(F.array().cast("array<bigint>"))))
     whole = F.when(F.length(text) > 0, F.array(hash32(text))).otherwise(F.array().cast("array<bigint>"))
-    return F.transform(F.array(F.sort_array(F.array_distinct(found))), lambda x: F.when(F.size(x) > 0, x).otherwise(whole))[0]
+    every = F.transform(F.array(F.sort_array(found)), lambda a: F.sort_array(F.array_distinct(counted(a))))
+    return F.transform(every, lambda x: F.when(F.size(x) > 0, x).otherwise(whole))[0]
 
 
 def fingerprint(sets: Column) -> Column:
