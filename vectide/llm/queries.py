@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectide.llm import chats, hamming, mixing, ngram_join, pieces, quality, secrets, spots, token_counts
+from vectide.llm import chats, hamming, mixing, ngram_join, pieces, quality, secrets, spots, token_counts, wrappers
 from vectide.llm.common import table
 
 
@@ -52,6 +52,10 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *map(count, secrets.BASE_KINDS), F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
 
 
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.main_texts(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict = {
     "op1_quality": op1_quality,
     "op2_mix": op2_mix,
@@ -62,6 +66,7 @@ QUERIES: dict = {
     "op7_chats": op7_chats,
     "op8_token_counts": op8_token_counts,
     "op9_secrets": op9_secrets,
+    "op10_main_text": op10_main_text,
 }
 
 ORACLES: dict = {
