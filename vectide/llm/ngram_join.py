@@ -34,11 +34,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectide.llm.common import free_shuffles, ident, saved
+from vectide.llm.common import free_shuffles, ident, saved, tidy
 from vectide.llm.graph import components
 from vectide.llm.shingles import mix64, set_digest, shingle_sets
 
-BATCH_TOKENS = 2_000_000
+BATCH_TOKENS = 1_000_000
 BATCH_CLASSES = 60_000
 BUCKET_TOKENS = 1_000_000
 CLUSTER_TOKENS = 2_000_000
@@ -69,6 +69,7 @@ def set_sizes(docs: DataFrame, words: int) -> DataFrame:
         for b in batches:
             sets = [(len(s), set_digest(s) if len(s) else None) for s in shingle_sets(b.column("text"), words)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x[0] for x in sets], pa.int64()), pa.array([x[1] for x in sets], pa.binary())], ["doc_id", "n", "cls"])
+        tidy()
 
     return docs.mapInArrow(run, f"doc_id {kind}, n long, cls binary")
 
@@ -113,10 +114,21 @@ def _pack(docs: DataFrame, words: int, bits: int) -> DataFrame:
                     held, made = 0, made + 1
         if sets:
             yield flush()
+        tidy()
 
     return docs.select("text").mapInArrow(run, _PACKED_DDL)
 
 
+def _tidied(run):  # noqa: ANN001, ANN202
+    def wrapped(group: pa.Table) -> pa.Table:
+        out = run(group)
+        del group
+        tidy()
+        return out
+
+    return wrapped
+
+
 def _count(group: pa.Table) -> pa.Table:
     """Of one bucket: the tokens that two or more sets hold, with a rank by frequency, as a row for each batch."""
     if group.column("key")[0].as_py() < 0:
@@ -246,8 +258,8 @@ def class_links(docs: DataFrame, total: int, words: int, percent: int, cluster_t
     """Links (a, b) between classes, enough to connect all that are connected; None if there are no candidates."""
     spark = docs.sparkSession
     bits = min(16, max(6, math.ceil(math.log2(max(1, total) / BUCKET_TOKENS))))
-    packed = _pack(docs, words, bits).groupBy("key").applyInArrow(_count, _PACKED_DDL)
-    found = saved(packed.groupBy("batch").applyInArrow(_gather(percent), "cls binary, n long, prefix array<long>, tokens binary"))
+    packed = _pack(docs, words, bits).groupBy("key").applyInArrow(_tidied(_count), _PACKED_DDL)
+    found = saved(packed.groupBy("batch").applyInArrow(_tidied(_gather(percent)), "cls binary, n long, prefix array<long>, tokens binary"))
     free_shuffles(spark)
     postings = found.select("cls", F.explode("prefix").alias("token")).distinct()
     tokens = postings.groupBy("token").agg(F.min("cls").alias("first"), F.max("cls").alias("last")).filter("first <> last")
@@ -264,7 +276,7 @@ def class_links(docs: DataFrame, total: int, words: int, percent: int, cluster_t
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least("block", x).alias("i"), F.greatest("block", x).alias("j")))
     own = F.when(F.col("blocks") > 1, F.concat(F.lit("c"), F.hex("root"))).otherwise(F.concat(F.lit("b"), F.pmod(F.xxhash64("root"), F.lit(bins)).cast("string")))
     where = where.select(F.col("node").alias("cls"), "root", "block", own.alias("own"), F.explode(pair).alias("at")).select("cls", "root", "block", "own", "at.i", "at.j")
-    links = found.join(where, "cls").groupBy("own", "i", "j").applyInArrow(_verify(percent), "a binary, b binary")
+    links = found.join(where, "cls").groupBy("own", "i", "j").applyInArrow(_tidied(_verify(percent)), "a binary, b binary")
     return saved(links)
 
 

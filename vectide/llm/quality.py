@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vectide.llm.common import free_name, ident, saved
+from vectide.llm.common import ident, saved, tidy
 
 FEATURES = 256
 RIDGE = 1e-3
@@ -99,9 +99,9 @@ def fourier(x: np.ndarray) -> np.ndarray:
     return np.hstack([np.sqrt(2 / FEATURES) * np.cos(np.clip(x, -8, 8) @ w + b), np.ones((len(x), 1))])
 
 
-def with_statistics(docs: DataFrame, text_col: str, out: str) -> DataFrame:
-    schema = docs.withColumn(out, F.array().cast("array<float>")).schema
-    columns = schema.fieldNames()
+def with_statistics(docs: DataFrame) -> DataFrame:
+    """docs: doc_id, text (not null). Returns doc_id, stats."""
+    kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from vectide.llm.quality import statistics as own
@@ -109,10 +109,11 @@ def with_statistics(docs: DataFrame, text_col: str, out: str) -> DataFrame:
         for b in batches:
             for k in range(0, b.num_rows, 512):
                 part = b.slice(k, 512)
-                stats = pa.array([own(t or "") for t in part.column(text_col).to_pylist()], pa.list_(pa.float32()))
-                yield pa.RecordBatch.from_arrays([stats if c == out else part.column(c) for c in columns], columns)
+                stats = pa.array([own(t) for t in part.column("text").to_pylist()], pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), stats], ["doc_id", "stats"])
+        tidy()
 
-    return docs.mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, stats array<float>")
 
 
 def _matrix(column) -> np.ndarray:
@@ -131,9 +132,11 @@ def fit(stats: DataFrame, labelled: DataFrame, ridge: float = RIDGE) -> Model:
         a, y, n = np.zeros((size, size)), np.zeros(size), 0
         for b in batches:
             if b.num_rows:
-                z = fourier((_matrix(b.column("stats")) - mean) / scale)
-                a += z.T @ z
-                y += z.T @ np.asarray(b.column("label"), np.float64)
+                x, label = _matrix(b.column("stats")), np.asarray(b.column("label"), np.float64)
+                for k in range(0, len(x), 2048):
+                    z = fourier((x[k : k + 2048] - mean) / scale)
+                    a += z.T @ z
+                    y += z.T @ label[k : k + 2048]
                 n += b.num_rows
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % 16], pa.int32()), pa.array([np.vstack([a, y]).tobytes()]), pa.array([n], pa.int64())], ["part", "sums", "n"])
@@ -157,7 +160,8 @@ def fit(stats: DataFrame, labelled: DataFrame, ridge: float = RIDGE) -> Model:
         n, ones = np.zeros(BINS, np.int64), np.zeros(BINS, np.int64)
         for b in batches:
             if b.num_rows:
-                at = np.clip((model.raw(_matrix(b.column("stats"))) - LOW) / width, 0, BINS - 1).astype(int)
+                raw = np.concatenate([model.raw(_matrix(b.column("stats").slice(k, 2048))) for k in range(0, b.num_rows, 2048)])
+                at = np.clip((raw - LOW) / width, 0, BINS - 1).astype(int)
                 n += np.bincount(at, minlength=BINS)
                 ones += np.bincount(at, weights=np.asarray(b.column("label"), np.float64), minlength=BINS).astype(np.int64)
         used = np.flatnonzero(n)
@@ -179,17 +183,17 @@ def isotonic(bins: list[tuple[float, int, int]]) -> tuple[np.ndarray, np.ndarray
     return np.array([p[0] / p[1] for p in pools]), np.array([p[2] / p[1] for p in pools])
 
 
-def scored(rows: DataFrame, model: Model, stats_col: str, out: str) -> DataFrame:
-    """rows with out, the calibrated score, in place of stats_col."""
-    schema = rows.drop(stats_col).withColumn(out, F.lit(0.0)).schema
-    columns = schema.fieldNames()
+def scored(stats: DataFrame, model: Model) -> DataFrame:
+    """stats: doc_id, stats. Returns doc_id, score."""
+    kind = dict(stats.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = pa.array(model.score(_matrix(b.column(stats_col))) if b.num_rows else [], pa.float64())
-            yield pa.RecordBatch.from_arrays([got if c == out else b.column(c) for c in columns], columns)
+            for k in range(0, b.num_rows, 2048):
+                part = b.slice(k, 2048)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(model.score(_matrix(part.column("stats"))), pa.float64())], ["doc_id", "score"])
 
-    return rows.mapInArrow(run, schema)
+    return stats.select("doc_id", "stats").mapInArrow(run, f"doc_id {kind}, score double")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -200,7 +204,7 @@ def held_out(doc_id: Column) -> Column:
 def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> tuple[Model, DataFrame]:
     """The model, and the saved statistics (doc_id, stats) of every row of docs."""
     narrow = docs.select(F.col(ident(id_col)).alias("doc_id"), F.coalesce(F.col(ident(text_col)), F.lit("")).alias("text"))
-    stats = saved(with_statistics(narrow, "text", "stats").select("doc_id", "stats"))
+    stats = saved(with_statistics(narrow))
     told = labels.select(F.col(ident(id_col)).alias("of"), F.col(ident(label_col)).cast("int").alias("label")).filter("label in (0, 1)")
     labelled = stats.filter(~held_out(F.col("doc_id"))).join(told, F.col("doc_id") == F.col("of"))
     return fit(stats, saved(labelled.select("stats", "label"))), stats
@@ -209,14 +213,21 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 def quality_scores(docs: DataFrame, labels: DataFrame, **columns) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score, predicted."""
     model, stats = learn(docs, labels, **columns)
-    rows = scored(stats, model, "stats", "score")
-    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scored(stats, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def of_good_quality(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", threshold: float = THRESHOLD, **columns) -> DataFrame:
     """The rows of docs that score at least threshold, with docs' columns; texts aren't shuffled."""
     model, _ = learn(docs, labels, text_col=text_col, **columns)
-    stats = free_name(docs, "stats")
-    score = free_name(docs, "score")
-    rows = scored(with_statistics(docs, text_col, stats), model, stats, score)
-    return rows.filter(F.col(ident(score)) >= threshold).select(*[F.col(ident(c)) for c in docs.columns])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from vectide.llm.quality import statistics as own
+
+        for b in batches:
+            for k in range(0, b.num_rows, 512):
+                part = b.slice(k, 512)
+                x = np.array([own(t or "") for t in part.column(text_col).to_pylist()], np.float32)
+                yield part.filter(pa.array(model.score(x.astype(np.float64)) >= threshold))
+        tidy()
+
+    return docs.mapInArrow(run, docs.schema)

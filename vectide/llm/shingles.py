@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 
 PIECE_BYTES = 1 << 20
+#: Rows whose texts are laid out for numpy at a time; bounds a worker's memory whatever the batch size.
+SLICE_ROWS = 512
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _tables: dict = {}
 
@@ -97,6 +99,11 @@ def _long_words(raw: np.ndarray) -> np.ndarray:
 
 def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text; a text with fewer than k words has its whole sequence as one, one without words none."""
+    for at in range(0, len(texts), SLICE_ROWS):
+        yield from _sets_of_slice(texts.slice(at, SLICE_ROWS), k)
+
+
+def _sets_of_slice(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
     with np.errstate(over="ignore"):
         texts = texts.cast(pa.large_binary())
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
