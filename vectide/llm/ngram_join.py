@@ -13,9 +13,10 @@ A pair is verified only if the prefixes meet under every order.
    verification needs. A class with p or more tokens of its own can't link and ends here.
 3. Classes that meet in the frequency prefix form candidate clusters (connected components).
    Each cluster is joined exactly in one task by all three prefix indexes; a cluster over
-   ``cluster_tokens`` is cut into blocks and all pairs of blocks are joined in tasks of their own,
-   so no task holds an unbounded group. A task gives a spanning forest of the links it found, as
-   components need no more: pairs already connected aren't verified again.
+   ``cluster_tokens`` is cut into blocks, so no task holds an unbounded group: each block is joined with
+   itself and the first, then all sets outside of the largest component with all blocks. A task gives a
+   spanning forest of the links it found, as components need no more: pairs already connected aren't
+   verified again.
 4. Components over the links, then the least doc_id of each.
 
 Nothing is capped: a common token only counts as a late one in the order. Null and wordless texts have
@@ -217,11 +218,11 @@ class _Cluster:
         both = np.add.reduceat((own[at] == flat).astype(np.int64), np.concatenate([[0], np.cumsum(size)[:-1]]))
         return others[100 * both >= self.percent * (self.sizes[k] + self.sizes[others] - both)]
 
-    def forest(self, side: np.ndarray | None) -> list[tuple[bytes, bytes]]:
-        """Links that connect what all links connect. side: only sets of different sides are compared."""
-        label, out = np.arange(len(self.names)), []
+    def forest(self, label: np.ndarray, side: np.ndarray | None) -> list[tuple[bytes, bytes]]:
+        """Links that connect what all links connect. Sets of one label are connected already; with side, only sets of different sides are compared."""
+        label, out = label.copy(), []
         for k in range(len(self.names)):
-            if len(label) > 1 and (label == label[0]).all():
+            if (label == label[0]).all():
                 break
             others = self.meeting(k)
             others = others[label[others] != label[k]]
@@ -238,17 +239,17 @@ class _Cluster:
 
 def _verify(percent: int):
     def run(group: pa.Table) -> pa.Table:
-        rows: dict[bytes, dict[bytes, dict]] = {}
+        rows: dict[bytes, dict[tuple[bytes, int], dict]] = {}
         for r in group.to_pylist():
-            rows.setdefault(r["root"], {})[r["cls"]] = r
+            rows.setdefault(r["root"], {})[r["cls"], r["side"]] = r
         links = []
         for root in sorted(rows):
             some = [rows[root][c] for c in sorted(rows[root])]
             if len(some) < 2:
                 continue
-            side = np.array([r["block"] for r in some])
+            label = np.unique([r["label"].hex() for r in some], return_inverse=True)[1]
             c = _Cluster([r["cls"] for r in some], [r["n"] for r in some], [np.array(r["prefix"], np.int64).astype(np.uint64) for r in some], [np.frombuffer(r["tokens"], np.uint64) for r in some], percent)
-            links += c.forest(side if some[0]["i"] != some[0]["j"] else None)
+            links += c.forest(label, np.array([r["side"] for r in some]) if some[0]["cross"] else None)
         return pa.table({"a": pa.array([x[0] for x in links], pa.binary()), "b": pa.array([x[1] for x in links], pa.binary())})
 
     return run
@@ -272,12 +273,41 @@ def class_links(docs: DataFrame, total: int, words: int, percent: int, cluster_t
     weight = saved(weight.withColumn("blocks", F.when(F.col("size") <= cluster_tokens, 1).otherwise(2 * F.ceil(F.col("size") / cluster_tokens)).cast("int")))
     bins = max(16, math.ceil((weight.agg(F.sum("size")).first()[0] or 0) / cluster_tokens))
     where = roots.join(weight, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # A cluster of one block shares a task with others of its bin; a larger one has a task for each pair of blocks.
-    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least("block", x).alias("i"), F.greatest("block", x).alias("j")))
+    # A cluster of one block shares a task with others of its bin. Of a larger one, each block is joined with itself
+    # and with the first block; what that leaves unconnected is joined with all blocks below.
+    alone, first = F.struct(F.col("block").alias("i"), F.col("block").alias("j")), F.struct(F.lit(0).alias("i"), F.col("block").alias("j"))
+    all_first = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.lit(0).alias("i"), x.alias("j")))
+    pair = F.when(F.col("block") == 0, all_first).otherwise(F.array(alone, first))
     own = F.when(F.col("blocks") > 1, F.concat(F.lit("c"), F.hex("root"))).otherwise(F.concat(F.lit("b"), F.pmod(F.xxhash64("root"), F.lit(bins)).cast("string")))
-    where = where.select(F.col("node").alias("cls"), "root", "block", own.alias("own"), F.explode(pair).alias("at")).select("cls", "root", "block", "own", "at.i", "at.j")
-    links = found.join(where, "cls").groupBy("own", "i", "j").applyInArrow(_tidied(_verify(percent)), "a binary, b binary")
-    return saved(links)
+    where = where.select(F.col("node").alias("cls"), "root", "block", "blocks", own.alias("own"))
+    tasks = where.withColumn("at", F.explode(pair)).select("cls", "root", "own", "at.i", "at.j", F.col("block").alias("side"), (F.col("at.i") != F.col("at.j")).alias("cross"), F.col("cls").alias("label"))
+    join = lambda rows: saved(found.join(rows, "cls").groupBy("own", "i", "j").applyInArrow(_tidied(_verify(percent)), "a binary, b binary").filter("a <> b"))
+    links = join(tasks)
+    large = where.filter("blocks > 1")
+    if weight.filter("blocks > 1").isEmpty():
+        return links
+    return links.unionByName(join(_rest(large, links, member)))
+
+
+def _rest(large: DataFrame, links: DataFrame, member: DataFrame) -> DataFrame:
+    """Tasks for clusters of several blocks: sets outside of a cluster's largest component so far, against all its sets.
+
+    Pairs inside that component are connected, so the work is that of the few, not the square of the many.
+    """
+    label = components(links).select(F.col("node").alias("of"), F.col("root").alias("label"))
+    rows = large.join(label, F.col("cls") == F.col("of"), "left").withColumn("label", F.coalesce("label", "cls")).drop("of").join(member, "cls")
+    most = rows.groupBy("root", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("root").agg(F.max_by("label", F.struct("n", "label")).alias("most"))
+    rows = saved(rows.join(most, "root").withColumn("few", F.col("label") != F.col("most")))
+    few = rows.filter("few").groupBy("root").agg(F.sum("size").alias("few_size"))
+    per_block = rows.groupBy("root").agg((F.sum("size") / F.first("blocks")).alias("block_size"))
+    few = few.join(per_block, "root").select("root", F.greatest(F.lit(1), F.ceil(F.col("few_size") / F.col("block_size"))).cast("int").alias("chunks"))
+    rows = rows.join(few, "root")
+    chunk = F.pmod(F.xxhash64("cls", F.lit(1)), F.col("chunks")).cast("int")
+    columns = ["cls", "root", "own", "i", "j", "side", "cross", "label"]
+    cross = F.lit(True).alias("cross")
+    left = rows.filter("few").select("cls", "root", "own", chunk.alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(0).alias("side"), cross, "label")
+    right = rows.select("cls", "root", "own", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"), cross, "label")
+    return left.select(*columns).unionByName(right.select(*columns))
 
 
 def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, cluster_tokens: int = CLUSTER_TOKENS) -> DataFrame:
