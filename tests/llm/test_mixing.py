@@ -32,11 +32,10 @@ def test_targets_and_taken(spark):
     again = mixing.mix_plan(docs.repartition(7), keep=False).select("row.doc_id", "size", "source_size", "target", F.size("draws").alias("n")).collect()
     assert sorted(rows) == sorted(again)
     text = {r.doc_id: r for r in docs.collect()}
-    sizes, longest = {}, {}
+    sizes = {}
     for r in text.values():
         n = len(WORD.findall(r.text or ""))
         sizes[r.source] = sizes.get(r.source, 0) + n
-        longest[r.source] = max(longest.get(r.source, 0), n)
     want, taken = plain_targets(sizes), dict.fromkeys(sizes, 0)
     assert len(rows) == len(text)
     for r in rows:
@@ -46,7 +45,7 @@ def test_targets_and_taken(spark):
         taken[s] += r.size * r.n
     assert want["src3"] == 3 * sizes["src3"] == taken["src3"]
     for s in sizes:
-        assert abs(taken[s] - want[s]) <= longest[s] / 2 + 1
+        assert -1 <= want[s] - taken[s] <= max(50, want[s] / 100)
 
 
 def test_quotas_are_exact(spark):

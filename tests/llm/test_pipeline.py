@@ -29,3 +29,30 @@ def test_stages_and_run(spark):
     assert len(rows) == after["mix"].count()
     assert all(codec.decode(r.piece_ids) == texts[r.doc_id] and r.n_pieces == len(r.piece_ids) for r in rows)
     assert corpus_pipeline.run(spark, d).count() == len(rows)
+
+
+def test_odd_and_empty_tables(spark, tmp_path):
+    long = "Once more the end. " * 40_000
+    rows = [
+        (1, "A plain text. It has some words.", "en", "s1", 32, 1),
+        (1, "A plain text. It has some words.", "en", "s1", 32, 1),
+        (2, None, None, None, None, 2),
+        (None, "no id here", "en", "s1", 10, 3),
+        (3, "", "en", "s2", 0, 4),
+        (4, long, "en", "s2", len(long), 5),
+        (5, long + "x", "en", None, len(long) + 1, 6),
+        (6, 'token = "1eb9c654e721b4f812088970e66a6345cee33dd6"', "en", "s3", 50, 7),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, stats int")
+    labels = spark.createDataFrame([(1, 1, 0), (4, 1, 0), (3, None, 0), (None, 1, 1), (6, 1, 0)], "doc_id long, quality int, toxic int")
+    for name, docs in (("odd", df), ("none", df.limit(0))):
+        d = f"{tmp_path}/{name}"
+        docs.write.parquet(f"{d}/documents.parquet")
+        (labels if name == "odd" else labels.limit(0)).write.parquet(f"{d}/labels.parquet")
+        got = corpus_pipeline.run(spark, d).collect()
+        assert (len(got) > 0) == (name == "odd")
+        kept = {r.doc_id for r in got}
+        assert not {4, 5} <= kept
+        for r in got:
+            if r.doc_id == 6:
+                assert "1eb9c654" not in pieces.load(None).decode(r.piece_ids)

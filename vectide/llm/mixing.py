@@ -4,8 +4,8 @@
    and share the words of all; no target exceeds ``most`` times its source's words, and what is
    above is shared again by weight (solved in one step as a water level).
 2. A keyed hash deals each source's documents into blocks. A target of r times the source takes
-   every block floor(r) times and goes through the blocks once more in permuted order, to the
-   document at which the target is met (the nearer of the two borders).
+   every block floor(r) times and goes through the blocks once more in permuted order, until the
+   target is met; in the block where that happens, shorter documents fill what the first too long one leaves.
 3. A binary tree over the output shards splits the exact numbers of block draws: at each node the
    left half's number is drawn from the multivariate hypergeometric distribution, source by source.
    A leaf's numbers are disjoint runs of each source's permuted draws.
@@ -28,6 +28,8 @@ from vectide.llm.common import ident, saved, words_count
 
 DOCS_PER_BLOCK = 512
 WORDS_PER_SHARD = 8_000_000
+#: Further passes over the block in which a target is met.
+REFINE = 4
 #: A table of sources is broadcast up to so many rows (under 2 MB); beyond it Spark joins it by shuffle.
 BROADCAST_SOURCES = 10_000
 
@@ -103,7 +105,6 @@ def mix_plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     side = stats.select(F.col("source").alias("name"), "sid", "source_size", "target", "full", "rest", "blocks")
     rows = rows.join(F.broadcast(side) if sources <= BROADCAST_SOURCES else side, F.col("source").eqNullSafe(F.col("name"))).drop("name", "source")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("key", F.lit(seed)), F.col("blocks"))).drop("blocks")
-    inside = Window.partitionBy("sid", "block").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
 
     # Draws of blocks: the whole passes, and in permuted order as much of one more as the target needs.
     blocks = saved(rows.groupBy("sid", "block").agg(F.sum("size").alias("words"), F.first("full").alias("full"), F.first("rest").alias("rest")))
@@ -117,12 +118,33 @@ def mix_plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     dealt = leaves.withColumn("end", end).filter("q > 0").select("sid", "shard", F.explode(F.sequence(F.col("end") - F.col("q") + 1, F.col("end"))).alias("draw"))
     of_block = passes.join(dealt, ["sid", "draw"]).groupBy("sid", "block").agg(F.sort_array(F.collect_list(F.struct("epoch", "shard", "off"))).alias("draws"))
 
-    rows = rows.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(of_block, ["sid", "block"], "left")
-    met = lambda x: (x["epoch"] < F.col("full")) | (x["off"] + F.col("before") + F.col("size") / 2 < F.col("rest"))
-    draws = F.transform(F.filter(F.coalesce("draws", F.array().cast("array<struct<epoch:int,shard:int,off:bigint>>")), met), lambda x: F.struct(x["epoch"].alias("epoch"), x["shard"].alias("shard")))
+    rows = rows.join(of_block, ["sid", "block"], "left").withColumn("draws", F.coalesce("draws", F.array().cast("array<struct<epoch:int,shard:int,off:bigint>>")))
+    once_more = F.filter("draws", lambda x: x["epoch"] == F.col("full"))
+    rows = rows.withColumn("left", F.when(F.size(once_more) > 0, F.col("rest") - F.get(once_more, F.lit(0))["off"] + 1e-6))
+    rows = _fitted(rows)
+    met = lambda x: (x["epoch"] < F.col("full")) | F.col("fits")
+    draws = F.transform(F.filter("draws", met), lambda x: F.struct(x["epoch"].alias("epoch"), x["shard"].alias("shard")))
     return rows.select("row", "key", "size", "source_size", "target", draws.alias("draws"))
 
 
+def _fitted(rows: DataFrame) -> DataFrame:
+    """Adds fits: whether the last, partial pass takes the row. left: the words that its block may still give (null: none).
+
+    In key order rows are taken up to the first that is too long for what is left; then, ``REFINE`` times, of
+    the rows not taken those short enough for the gap, longest first, again up to its end.
+    """
+    block = Window.partitionBy("sid", "block")
+    by_key, by_size = (block.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow) for order in (["key", "size"], [F.col("size").desc(), "key"]))
+    rows = rows.withColumn("gap", F.coalesce("left", F.lit(-1.0))).withColumn("fits", F.lit(False))
+    for turn in range(1 + REFINE):
+        able = ~F.col("fits") & (F.lit(turn == 0) | (F.col("size") <= F.col("gap")))
+        rows = rows.withColumn("able", able & (F.col("gap") >= 0)).withColumn("sum", F.sum(F.when(F.col("able"), F.col("size")).otherwise(0)).over(by_size if turn else by_key))
+        rows = rows.withColumn("more", F.col("able") & (F.col("sum") <= F.col("gap")))
+        rows = rows.withColumn("gap", F.col("gap") - F.coalesce(F.max(F.when(F.col("more"), F.col("sum"))).over(block), F.lit(0)))
+        rows = rows.withColumn("fits", F.col("fits") | F.col("more"))
+    return rows.drop("gap", "able", "sum", "more")
+
+
 def mix(docs: DataFrame, *, seed: int = 7, **options) -> DataFrame:
     """The mixed rows of docs, as often as the mix takes each, dealt by shard and shuffled inside it; plus epoch and shard."""
     rows = mix_plan(docs, seed=seed, **options).select("row", "key", F.explode("draws").alias("draw"))
