@@ -41,7 +41,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The piece ids of every document of the mix."""
-    return pieces.encoded(docs.select("doc_id", "lang", "source", "n_chars", "text")).selectExpr("doc_id", "lang", "source", "n_chars", "CAST(size(piece_ids) AS long) AS n_pieces", "piece_ids")
+    return pieces.encoded(docs.select("doc_id", "lang", "source", "n_chars", "text"), keep_text=False).selectExpr("doc_id", "lang", "source", "n_chars", "CAST(size(piece_ids) AS long) AS n_pieces", "piece_ids")
 
 
 STAGES = [

@@ -24,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectide.llm.common import ident
+from vectide.llm.common import ident, tidy
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
-MEMO = 300_000
+MEMO = 120_000
 LONG_UNIT = 64
 
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -143,9 +143,10 @@ def load(path: str | None) -> Codec:
     return _loaded[path]
 
 
-def encoded(docs: DataFrame, *, text_col: str = "text", ids_col: str = "piece_ids", model: str | None = None) -> DataFrame:
-    """docs with ids_col, the ids of each text. One pass, no shuffle."""
-    schema = docs.withColumn(ids_col, F.array().cast("array<int>")).schema
+def encoded(docs: DataFrame, *, text_col: str = "text", ids_col: str = "piece_ids", model: str | None = None, keep_text: bool = True) -> DataFrame:
+    """docs with ids_col, the ids of each text, and without the text unless keep_text. One pass, no shuffle."""
+    bare = docs if keep_text else docs.drop(text_col)
+    schema = bare.withColumn(ids_col, F.array().cast("array<int>")).schema
     columns = schema.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,10 +154,15 @@ def encoded(docs: DataFrame, *, text_col: str = "text", ids_col: str = "piece_id
 
         codec = own.load(model)
         for b in batches:
-            for k in range(0, b.num_rows, 256):
-                part = b.slice(k, 256)
-                ids = pa.array([codec.encode(t or "") for t in part.column(text_col).to_pylist()], pa.list_(pa.int32()))
+            for k in range(0, b.num_rows, 128):
+                part = b.slice(k, 128)
+                offsets, values = np.zeros(part.num_rows + 1, np.int32), []
+                for row, text in enumerate(part.column(text_col).to_pylist()):
+                    values.append(np.array(codec.encode(text or ""), np.int32))
+                    offsets[row + 1] = offsets[row] + len(values[-1])
+                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values)))
                 yield pa.RecordBatch.from_arrays([ids if c == ids_col else part.column(c) for c in columns], columns)
+        tidy()
 
     return docs.mapInArrow(run, schema)
 
@@ -180,5 +186,6 @@ def round_trips(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                     sha.append(hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest())
                     back.append(codec.decode(ids) == text)
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.bool_())], ["id", "n_pieces", "ids_sha256", "round_trip"])
+        tidy()
 
     return rows.mapInArrow(run, f"id {kind}, n_pieces long, ids_sha256 string, round_trip boolean").withColumnRenamed("id", id_col)

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectide.llm.common import ident
+from vectide.llm.common import ident, tidy
 
 #: Characters at a chunk's end whose boundaries aren't trusted; more than any look-ahead and any special string.
 MARGIN = 64
@@ -120,5 +120,6 @@ def token_counts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 part = b.slice(k, 256)
                 texts = part.column("text")
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(pc.binary_length(texts), pa.int64()), pa.array(own.count_batch(t, texts.to_pylist(), chunk_chars, overlap_chars), pa.int64())], ["id", "n_bytes", "n_tokens"])
+        tidy()
 
     return rows.mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long").withColumnRenamed("id", id_col)
