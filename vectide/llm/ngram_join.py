@@ -259,18 +259,19 @@ def class_links(docs: DataFrame, total: int, words: int, percent: int, cluster_t
     """Links (a, b) between classes, enough to connect all that are connected; None if there are no candidates."""
     spark = docs.sparkSession
     bits = min(16, max(6, math.ceil(math.log2(max(1, total) / BUCKET_TOKENS))))
-    packed = _pack(docs, words, bits).groupBy("key").applyInArrow(_tidied(_count), _PACKED_DDL)
-    found = saved(packed.groupBy("batch").applyInArrow(_tidied(_gather(percent)), "cls binary, n long, prefix array<long>, tokens binary"))
+    found = saved(_pack(docs, words, bits).groupBy("key").applyInArrow(_tidied(_count), _PACKED_DDL).groupBy("batch").applyInArrow(_tidied(_gather(percent)), "cls binary, n long, prefix array<long>, tokens binary"))
     free_shuffles(spark)
     postings = found.select("cls", F.explode("prefix").alias("token")).distinct()
     tokens = postings.groupBy("token").agg(F.min("cls").alias("first"), F.max("cls").alias("last")).filter("first <> last")
     edges = saved(postings.join(tokens, "token").filter("cls <> first").select(F.col("cls").alias("a"), F.col("first").alias("b")).distinct())
+    free_shuffles(spark)  # what listeners still held at the first call is free by now
     if edges.isEmpty():
         return None
     roots = components(edges)
     member = found.select("cls", (F.octet_length("tokens") / 8).alias("size")).groupBy("cls").agg(F.first("size").alias("size"))
     weight = roots.join(member, F.col("node") == F.col("cls")).groupBy("root").agg(F.sum("size").alias("size"))
     weight = saved(weight.withColumn("blocks", F.when(F.col("size") <= cluster_tokens, 1).otherwise(2 * F.ceil(F.col("size") / cluster_tokens)).cast("int")))
+    free_shuffles(spark)
     bins = max(16, math.ceil((weight.agg(F.sum("size")).first()[0] or 0) / cluster_tokens))
     where = roots.join(weight, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # A cluster of one block shares a task with others of its bin. Of a larger one, each block is joined with itself
