@@ -84,3 +84,14 @@ def test_wrappers_are_json(spark):
     df = spark.createDataFrame([("h", page(k, f"<article><p>{k}</p></article>")) for k in range(20)], "host string, html string")
     (row,) = wrappers.host_wrappers(df).collect()
     assert json.loads(row.wrapper)["content"] == "html/body/article"
+
+
+def test_rare_template_of_a_large_host(spark):
+    usual = [f"<html><body><div class=a><p>usual {k} says {k * 7}</p></div><div class=b><p>Usual site line</p></div></body></html>" for k in range(200)]
+    rare = [f"<html><body><table><tr><td class=x><div class=m>menu of the rare part</div><div class=t><p>rare {k} tells {k * 3} things</p></div></td></tr></table></body></html>" for k in range(5)]
+    df = spark.createDataFrame([(k, "http://big.host/x", p) for k, p in enumerate(usual + rare)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in wrappers.main_texts(df).collect()}
+    assert [got[k] for k in range(200)] == [f"usual {k} says {k * 7}" for k in range(200)]
+    assert [got[200 + k] for k in range(5)] == [f"rare {k} tells {k * 3} things" for k in range(5)]
+    (row,) = wrappers.host_wrappers(df.selectExpr("'h' AS host", "html")).collect()
+    assert json.loads(row.wrapper) == wrappers.induce(usual + rare)

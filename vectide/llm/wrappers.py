@@ -1,18 +1,19 @@
 """Main text of web pages by wrapper induction.
 
-Per host up to ``SAMPLE`` pages, those with the smallest content hashes (so copies count once), are
-parsed into DOM trees and aligned with the first of them by simple tree matching: the largest
-order-preserving matching of equally labelled nodes. A node that most pages have with the same text
-is template; one that most have with other text is a slot. Slots under navigation, advert and
-similar elements are boilerplate by role; of the rest, the container with the most varying text is
-the host's content region. The wrapper of a host is that region's path and its constant texts.
+Every distinct page of a host is parsed into a DOM tree. Its shape is the tree of its distinct element
+paths; shapes of a host that simple tree matching (the largest order-preserving matching of equally
+labelled nodes) finds alike are one template. Over all distinct pages of a template, paths and texts
+are counted: a text that most pages with its path have is template, others are slots. Elements of navigation,
+advert and similar roles are boilerplate; of the rest, the container with the most varying text is the
+content region. The wrapper of a host is, for each template, that region's path and the constant texts.
 
 Every page is then read whole: the content region by the wrapper (else an article or main element,
 else the body), without elements of a boilerplate role, and, outside of article and main elements, without the
 template's constant texts. Character references are decoded, white space in a block becomes one
 space, blocks are joined by an empty line.
 
-The sample bounds what one task sees of a host; no page's text is capped. Wrappers are broadcast only
+Nothing is sampled and no page's text is capped. Pages with equal texts count once, and a text is template only
+over pages whose other texts differ. The distinct shapes of a host meet in one task. Wrappers are broadcast only
 under ``BROADCAST_BYTES``; beyond it they are joined by host. Null pages and pages without text give
 an empty text; rows without url share one host; repeated rows are each reported.
 """
@@ -23,17 +24,22 @@ import hashlib
 import html as htmllib
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vectide.llm.common import ident, saved
 
-SAMPLE = 8
-#: A node is template or slot if this share of the host's sample has it.
+#: A text is template if this share of a template's distinct pages with its path has it, and at least so many pages.
 SHARE = 0.8
+LEAST_PAGES = 3
+#: Only pages count whose other texts make up this share, so that copies can't erase each other.
+DIFFERS, DIFFERS_INSIDE = 0.25, 0.5
+#: Shapes are one template if tree matching pairs this share of their nodes.
+ALIKE = 0.7
 BROADCAST_BYTES = 8_000_000
 #: Elements nested deeper are read as if they stood at this depth, as browsers do.
 DEEPEST = 256
@@ -69,7 +75,7 @@ _NAME = re.compile(r"[A-Za-z0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parts", "key", "drop", "parent", "depth")
+    __slots__ = ("tag", "attrs", "parts", "key", "drop", "parent", "depth", "code")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None):
         self.tag, self.attrs, self.parent = tag, attrs, parent
@@ -77,6 +83,8 @@ class Node:
         self.parts: list = []  # texts and nodes in page order
         names = set(_NAME.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()))
         self.key = tag + "".join(sorted("." + c for c in attrs.get("class", "").lower().split()))
+        #: digest of the path
+        self.code = _digest(b"%d " % parent.code + self.key.encode("utf-8", "surrogatepass")) if parent else 0
         hidden = "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true"
         header = tag == "header" or bool(names & HEADER_NAMES)
         self.drop = "all" if tag in DROP_TAGS or hidden or attrs.get("role", "").lower() in DROP_ROLES or tag not in ("html", "body", "article", "main") and names & DROP_NAMES else "header" if header and tag not in HEADINGS else ""
@@ -142,29 +150,6 @@ def _closed(top: Node, root: Node, tags: set[str], scope: set[str] = SCOPE) -> N
     return node.parent if node is not root else top
 
 
-def own_text(node: Node) -> str:
-    """The text of a node and its inline descendants."""
-    out: list[str] = []
-
-    def walk(x: Node) -> None:
-        for p in x.parts:
-            if isinstance(p, str):
-                out.append(p)
-            elif p.tag not in BLOCK and p.tag not in DROP_TAGS:
-                out.append(" ") if p.tag == "br" else walk(p)
-
-    walk(node)
-    return " ".join("".join(out).split())
-
-
-def path(node: Node) -> str:
-    keys = []
-    while node.parent is not None:
-        keys.append(node.key)
-        node = node.parent
-    return "/".join(reversed(keys))
-
-
 def match(a: Node, b: Node) -> tuple[int, list]:
     """Simple tree matching: the size of the largest matching of two trees with equal roots, and its pairs as nested lists."""
     x, y = [c for c in a.children() if c.tag not in RAW], [c for c in b.children() if c.tag not in RAW]
@@ -201,41 +186,151 @@ def _flat(pairs: list) -> Iterator[tuple[Node, Node]]:
                 yield p
 
 
-def induce(pages: list[str]) -> dict:
-    """The wrapper of a host: path of the content region, and the constant texts of the template."""
-    trees = [parse(p) for p in pages]
-    if len(trees) < 2:
-        return {"content": "", "constant": []}
-    seed, seen = trees[0], {}
-    for other in trees[1:]:
-        for p, q in _flat(match(seed, other)[1]):
-            had, equal, length = seen.get(id(p), (0, 0, 0))
-            s, t = own_text(p), own_text(q)
-            seen[id(p)] = (had + 1, equal + (s == t), length + (len(s) + len(t) if s != t else 0))
-    least = SHARE * (len(trees) - 1)
-    constant, weight, texts = [], {}, {}
-
-    def walk(node: Node, dropped: bool) -> int:
-        dropped = dropped or bool(node.drop)
-        had, equal, length = seen.get(id(node), (0, 0, 0))
-        text = own_text(node)
-        if text and equal >= least and len(trees) > 2 and not dropped:
-            constant.append([path(node), text])
-        own = 0 if dropped else length if had >= least else len(text) * len(trees)
-        total = own + sum(walk(c, dropped) for c in node.children())
-        if had >= least and not dropped and node.parent is not None:
-            weight[path(node)] = total
-            texts[path(node)] = node
-        return total
-
-    walk(seed, False)
+def _digest(data: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
+
+
+def _code(data: str | list) -> int:
+    return _digest(json.dumps(data).encode())
+
+
+class Outline:
+    """What induction needs of a page: its shape, the digest of its texts, and their paths."""
+
+    __slots__ = ("shape", "page", "skeleton", "texts")
+
+    def __init__(self, root: Node):
+        #: (place of the parent, path below the parent, path code) of the distinct paths of block elements, in page order
+        self.skeleton: list[tuple[int, str, int]] = []
+        places: dict[tuple[int, str], int] = {}
+        stack = [(c, -1, "") for c in reversed(root.children())]
+        while stack:
+            node, up, below = stack.pop()
+            if node.drop == "all":
+                continue
+            below = f"{below}/{node.key}" if below else node.key
+            if node.tag in BLOCK:
+                at = places.setdefault((up, below), len(places))
+                if at == len(self.skeleton):
+                    self.skeleton.append((up, below, node.code))
+                up, below = at, ""
+            stack.extend((c, up, below) for c in reversed(node.children()))
+        self.shape = _code([x[2] for x in self.skeleton])
+        #: text code: [path code, length on the page, inside an article or main element]
+        self.texts: dict[int, list] = {}
+        order = []
+        for owner, text in _blocks(root):
+            t = text_code(owner, text)
+            order.append(t)
+            own = self.texts.setdefault(t, [owner.code, 0, _semantic(owner)])
+            own[1] += len(text)
+        self.page = _code(order)
+
+
+def text_code(owner: Node, text: str) -> int:
+    return _digest(b"%d " % owner.code + text.encode("utf-8", "surrogatepass"))
+
+
+def _semantic(node: Node | None) -> bool:
+    while node is not None and node.tag not in ("article", "main"):
+        node = node.parent
+    return node is not None
+
+
+def _tree(skeleton: list) -> tuple[Node, int]:
+    nodes = [Node("#", {}, None)]
+    for up, below, _ in skeleton:
+        node = Node("div", {}, None)
+        node.key = below
+        nodes[up + 1].parts.append(node)
+        nodes.append(node)
+    return nodes[0], len(nodes)
+
+
+def templates(shapes: list[tuple[int, int, list]]) -> dict[int, int]:
+    """shapes: (shape, pages, skeleton). The template of each shape: the first larger one whose tree matches it by ``ALIKE``, else its own."""
+    leaders: list[tuple[Node, int]] = []
+    out = {}
+    for shape, _, skeleton in sorted(shapes, key=lambda x: (-x[1], x[0])):
+        tree, size = _tree(skeleton)
+        for k, (other, n) in enumerate(leaders):
+            if 2 * min(size, n) >= ALIKE * (size + n) and 2 * match(other, tree)[0] >= ALIKE * (size + n):
+                out[shape] = k
+                break
+        else:
+            out[shape] = len(leaders)
+            leaders.append((tree, size))
+    return out
+
+
+def content_region(shapes: list[tuple[int, list]], sizes: dict[int, int]) -> tuple[str, int]:
+    """shapes: (pages, skeleton) of a template; sizes: varying text by path code. Path and path code of the content region."""
+    pages = sum(n for n, _ in shapes)
+    had: Counter = Counter()
+    known: dict[int, tuple[str, str, frozenset]] = {}  # path, tag, codes of the container and those above it
+    for n, skeleton in shapes:
+        line: list[tuple[str, frozenset]] = []
+        for up, below, code in skeleton:
+            above = line[up] if up >= 0 else ("", frozenset())
+            here = (f"{above[0]}/{below}" if above[0] else below, above[1] | {code})
+            line.append(here)
+            known[code] = (here[0], re.split("[.]", below.rsplit("/", 1)[-1])[0], here[1])
+            had[code] += n
+    weight: Counter = Counter()
+    for code, (_, _, above) in known.items():
+        for up in above:
+            weight[up] += sizes.get(code, 0)
     everything = max(weight.values(), default=0)
-    # the deepest aligned container that holds nearly all varying text, or an article element that holds most
-    best = ""
-    for at in sorted(weight, key=lambda k: k.count("/")):
-        if everything and (weight[at] >= 0.9 * everything or texts[at].tag in ("article", "main") and weight[at] >= 0.5 * everything) and texts[at].tag in BLOCK - {"p", "li", "td", "th"} - HEADINGS:
-            best = at
-    return {"content": best, "constant": constant}
+    best = ("", 0)
+    for code in sorted(known, key=lambda c: (known[c][0].count("/"), known[c][0])):
+        where, tag, _ = known[code]
+        if everything and had[code] >= SHARE * pages and (weight[code] >= 0.9 * everything or tag in ("article", "main") and weight[code] >= 0.5 * everything) and tag in BLOCK - {"p", "li", "td", "th"} - HEADINGS:
+            best = (where, code)
+    return best
+
+
+def host_wrapper(parts: list[tuple[list, dict[int, int], list[int]]]) -> dict:
+    """parts: of each template the shapes (shape, pages, skeleton), varying sizes by path and constant texts."""
+    fitted = []
+    for shapes, sizes, constant in sorted(parts, key=lambda x: (-sum(n for _, n, _ in x[0]), min(x[0])[0])):
+        single = sum(n for _, n, _ in shapes) < 2
+        where, code = ("", 0) if single else content_region([x[1:] for x in shapes], sizes)
+        fitted.append({"content": where, "region": code, "constant": sorted(constant), "shapes": sorted(x[0] for x in shapes)})
+    return fitted[0] | {"others": fitted[1:]} if fitted else {"content": "", "region": 0, "constant": [], "shapes": [], "others": []}
+
+
+def induce(pages: list[str]) -> dict:
+    """The wrapper of a host from its pages in memory, as host_wrappers does it over a table."""
+    outlines = {(o.shape, o.page): o for o in (Outline(parse(p)) for p in pages)}.values()
+    skeletons = {o.shape: o.skeleton for o in outlines}
+    counts = Counter(o.shape for o in outlines)
+    of = templates([(s, counts[s], k) for s, k in skeletons.items()])
+    parts = []
+    for k in sorted(set(of.values())):
+        own = [o for o in outlines if of[o.shape] == k]
+        with_path = Counter(p for o in own for p in {x[0] for x in o.texts.values()})
+        with_text = Counter(t for o in own for t in o.texts)
+        often = {t for o in own for t, x in o.texts.items() if with_text[t] >= max(LEAST_PAGES, SHARE * with_path[x[0]])}
+        shown: Counter = Counter()
+        for o in own:
+            every, other = sum(x[1] for x in o.texts.values()), sum(x[1] for t, x in o.texts.items() if t not in often)
+            shown.update(t for t, x in o.texts.items() if t in often and other >= (DIFFERS_INSIDE if x[2] else DIFFERS) * every)
+        constant = {t for o in own for t, x in o.texts.items() if t in often and shown[t] >= max(LEAST_PAGES, SHARE * with_path[x[0]])}
+        sizes: Counter = Counter()
+        for o in own:
+            for t, x in o.texts.items():
+                sizes[x[0]] += 0 if t in constant else x[1]
+        parts.append(([(s, counts[s], skeletons[s]) for s in skeletons if of[s] == k], sizes, list(constant)))
+    return host_wrapper(parts)
+
+
+def template_of(root: Node, wrapper: dict) -> dict:
+    """The part of a host's wrapper that covers a page."""
+    if not wrapper.get("others"):
+        return wrapper
+    if "of" not in wrapper:
+        wrapper["of"] = {s: w for w in (wrapper, *wrapper["others"]) for s in w["shapes"]}
+    return wrapper["of"].get(Outline(root).shape, {})
 
 
 def _regions(root: Node, wrapper: dict) -> list[Node]:
@@ -267,19 +362,22 @@ def _regions(root: Node, wrapper: dict) -> list[Node]:
     return [root]
 
 
-def blocks(top: Node, constant: set[tuple[str, str]]) -> list[str]:
+def blocks(top: Node, constant: set[int]) -> list[str]:
     """The texts of a region's blocks in page order."""
+    kept = _semantic(top)
+    return [text for owner, text in _blocks(top) if kept or not constant or text_code(owner, text) not in constant]
+
+
+def _blocks(top: Node) -> list[tuple[Node, str]]:
+    """Owner and text of each block of a region in page order."""
     out, run = [], []
-    within = top
-    while within.parent is not None and within.tag not in ("article", "main"):
-        within = within.parent
-    kept = within.tag in ("article", "main")
+    kept = _semantic(top)
 
     def flush(owner: Node) -> None:
         text = " ".join("".join(run).split())
         run.clear()
-        if text and (kept or not constant or (path(owner), text) not in constant):
-            out.append(text)
+        if text:
+            out.append((owner, text))
 
     # an explicit stack: pages may nest deeper than Python's calls may
     stack: list[tuple[Node, Iterator, bool]] = [(top, iter(top.parts), False)]
@@ -294,7 +392,7 @@ def blocks(top: Node, constant: set[tuple[str, str]]) -> list[str]:
             elif p.drop == "all":
                 if p.tag in BLOCK:
                     flush(node)
-            elif p.drop == "header" and not (kept or any(n.tag == "article" for n, _, _ in stack)):
+            elif p.drop == "header" and not (kept or any(n.tag in ("article", "main") for n, _, _ in stack)):
                 flush(node)
             else:
                 if p.tag in BLOCK:
@@ -310,7 +408,8 @@ def blocks(top: Node, constant: set[tuple[str, str]]) -> list[str]:
 
 def extract(page: str, wrapper: dict) -> str:
     root = parse(page)
-    constant = {tuple(x) for x in wrapper.get("constant", ())}
+    wrapper = template_of(root, wrapper)
+    constant = set(wrapper.get("constant", ()))
     return "\n\n".join(b for region in _regions(root, wrapper) for b in blocks(region, constant))
 
 
@@ -321,30 +420,83 @@ def host_of(url: Column) -> Column:
 def host_wrappers(pages: DataFrame) -> DataFrame:
     """pages: host, html. Returns host, wrapper (JSON)."""
 
-    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, dict[str, str]] = {}
+    def outlines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from vectide.llm.wrappers import Outline as Own
+        from vectide.llm.wrappers import parse as read
+
+        seen, shown = set(), set()
         for b in batches:
-            for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                own = held.setdefault(host, {})
-                h = hashlib.blake2b(page.encode(), digest_size=8).hexdigest()
-                if len(own) < SAMPLE or h < max(own):
-                    own[h] = page
-                    if len(own) > SAMPLE:
-                        del own[max(own)]
-        rows = [(host, h, page) for host, own in held.items() for h, page in own.items()]
-        for k in range(0, len(rows), 256):
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows[k : k + 256], strict=True)], ["host", "h", "html"])
-
-    def learn(group: pa.Table) -> pa.Table:
-        from vectide.llm.wrappers import induce as own
-
-        rows = dict(sorted(zip(group.column("h").to_pylist(), group.column("html").to_pylist(), strict=True)))
-        return pa.table({"host": [group.column("host")[0].as_py()], "wrapper": [json.dumps(own(list(rows.values())))]})
-
-    order = Window.partitionBy("host").orderBy("h")
-    some = pages.filter("html is not null").select("host", "html").mapInArrow(least, "host string, h string, html string")
-    some = some.withColumn("rank", F.dense_rank().over(order)).filter(F.col("rank") <= SAMPLE).select("host", "h", "html")
-    return some.groupBy("host").applyInArrow(learn, "host string, wrapper string")
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                rows, flat, offsets = [], [], [0]
+                for host, page in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    o = Own(read(page))
+                    if (host, o.shape, o.page) in seen:
+                        continue
+                    if len(seen) > 100_000:
+                        seen.clear()
+                    if len(shown) > 20_000:
+                        shown.clear()
+                    seen.add((host, o.shape, o.page))
+                    new = (host, o.shape) not in shown
+                    shown.add((host, o.shape))
+                    rows.append((host, o.shape, o.page, json.dumps(o.skeleton) if new else None))
+                    # a row without text for each path: its count is the number of pages with the path
+                    flat += [(p, None, 0, False) for p in sorted({x[0] for x in o.texts.values()})]
+                    flat += [(x[0], t, x[1], x[2]) for t, x in o.texts.items()]
+                    offsets.append(len(flat))
+                if rows:
+                    cols = list(zip(*rows, strict=True))
+                    p, t, n, inside = zip(*flat, strict=True) if flat else ((), (), (), ())
+                    items = pa.StructArray.from_arrays([pa.array(p, pa.int64()), pa.array(t, pa.int64()), pa.array(n, pa.int64()), pa.array(inside, pa.bool_())], ["p", "t", "n", "inside"])
+                    texts = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), items)
+                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.string()), texts], ["host", "shape", "page", "skeleton", "texts"])
+
+    def group(rows: pa.Table) -> pa.Table:
+        from vectide.llm.wrappers import templates as own
+
+        shapes, pages, skeletons = (rows.column(c).to_pylist() for c in ("shape", "pages", "skeleton"))
+        of = own([(s, n, json.loads(k)) for s, n, k in zip(shapes, pages, skeletons, strict=True)])
+        return pa.table({"host": rows.column("host"), "shape": rows.column("shape"), "template": pa.array([of[s] for s in shapes], pa.int32()), "pages": rows.column("pages"), "skeleton": rows.column("skeleton")})
+
+    def fit(rows: pa.Table) -> pa.Table:
+        from vectide.llm.wrappers import host_wrapper as own
+
+        parts = []
+        for r in rows.to_pylist():
+            shapes = [(x["shape"], x["pages"], json.loads(x["skeleton"])) for x in r["shapes"]]
+            parts.append((shapes, {x["p"]: x["size"] for x in r["sizes"] or ()}, r["constant"] or []))
+        return pa.table({"host": [rows.column("host")[0].as_py()], "wrapper": [json.dumps(own(parts))]})
+
+    key = ["host", "template"]
+    kinds = "host string, shape long, page long, skeleton string, texts array<struct<p:long,t:long,n:long,inside:boolean>>"
+    found = pages.filter("html is not null").select("host", "html").mapInArrow(outlines, kinds)
+    found = saved(found.groupBy("host", "shape", "page").agg(F.first("texts").alias("texts"), F.max("skeleton").alias("skeleton")))
+    shapes = found.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("pages"), F.max("skeleton").alias("skeleton"))
+    shapes = saved(shapes.groupBy("host").applyInArrow(group, "host string, shape long, template int, pages long, skeleton string"))
+    found = found.drop("skeleton").join(shapes.select("host", "shape", "template"), ["host", "shape"]).select(*key, "texts")
+
+    counts = saved(found.select(*key, F.explode("texts").alias("x")).groupBy(*key, "x.p", "x.t").agg(F.count(F.lit(1)).alias("pages"), F.sum("x.n").alias("size")))
+    paths = counts.groupBy(*key, "p").agg(F.max(F.when(F.col("t").isNull(), F.col("pages"))).alias("with_path"), F.sum("size").alias("whole"))
+    enough = F.greatest(F.lit(float(LEAST_PAGES)), SHARE * F.col("with_path"))
+    often = counts.filter((F.col("pages") >= LEAST_PAGES) & F.col("t").isNotNull()).join(paths.drop("whole"), [*key, "p"]).filter(F.col("pages") >= enough)
+    often = saved(often.select(*key, "p", "t", "size", "with_path"))
+
+    # of the frequent texts those on enough pages whose other texts outweigh the frequent ones
+    lists = often.groupBy(*key).agg(F.collect_set("t").alias("often"))
+    known = lambda x: F.coalesce(F.array_contains("often", x["t"]), F.lit(False))
+    total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda s, x: s + x["n"])
+    shown = found.join(lists, key).withColumn("every", total(F.col("texts"))).withColumn("texts", F.filter("texts", known))
+    other = F.col("every") - total(F.col("texts"))
+    shown = shown.withColumn("other", other).withColumn("texts", F.filter("texts", lambda x: F.col("other") >= F.when(x["inside"], DIFFERS_INSIDE).otherwise(DIFFERS) * F.col("every")))
+    shown = shown.select(*key, F.explode("texts.t").alias("t")).groupBy(*key, "t").agg(F.count(F.lit(1)).alias("shown"))
+    constant = saved(often.join(shown, [*key, "t"]).filter(F.col("shown") >= enough).select(*key, "p", "t", "size"))
+
+    fixed = constant.groupBy(*key, "p").agg(F.sum("size").alias("fixed"))
+    sizes = paths.join(fixed, [*key, "p"], "left").select(*key, F.struct("p", (F.col("whole") - F.coalesce("fixed", F.lit(0))).alias("size")).alias("x")).groupBy(*key).agg(F.collect_list("x").alias("sizes"))
+    parts = shapes.groupBy(*key).agg(F.collect_list(F.struct("shape", "pages", "skeleton")).alias("shapes"))
+    parts = parts.join(sizes, key, "left").join(constant.groupBy(*key).agg(F.collect_list("t").alias("constant")), key, "left")
+    return parts.groupBy("host").applyInArrow(fit, "host string, wrapper string")
 
 
 def main_texts(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
