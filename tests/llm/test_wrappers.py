@@ -95,3 +95,19 @@ def test_rare_template_of_a_large_host(spark):
     assert [got[200 + k] for k in range(5)] == [f"rare {k} tells {k * 3} things" for k in range(5)]
     (row,) = wrappers.host_wrappers(df.selectExpr("'h' AS host", "html")).collect()
     assert json.loads(row.wrapper) == wrappers.induce(usual + rare)
+
+
+def test_wrapper_decides_inside_articles():
+    texts = [f"report {k} tells at some length what happened in town {k * 7} last week" for k in range(6)]
+    advert = [f"<body><article><p>{x}</p><div class=box>Buy our lamps today</div></article></body>" for x in texts]
+    assert [wrappers.extract(p, wrappers.induce(advert)) for p in advert] == texts
+    teaser = [f"<body><div class=story><p>{x}</p><p>{x} again</p></div><article><p>more {k}</p></article></body>" for k, x in enumerate(texts)]
+    assert [wrappers.extract(p, wrappers.induce(teaser)) for p in teaser] == [f"{x}\n\n{x} again" for x in texts]
+
+
+def test_copies_do_not_erase_each_other():
+    same = "".join(f"<p>paragraph {k} of a text that many pages of the host repeat</p>" for k in range(8))
+    copies = [f"<body><article>{same}<p>edited {k}</p></article></body>" for k in range(6)]
+    w = wrappers.induce(copies)
+    assert all(wrappers.extract(p, w).count("paragraph") == 8 and f"edited {k}" in wrappers.extract(p, w) for k, p in enumerate(copies))
+    assert wrappers.extract(copies[0], wrappers.induce(copies[:1] * 9)).count("paragraph") == 8

@@ -7,9 +7,9 @@ are counted: a text that most pages with its path have is template, others are s
 advert and similar roles are boilerplate; of the rest, the container with the most varying text is the
 content region. The wrapper of a host is, for each template, that region's path and the constant texts.
 
-Every page is then read whole: the content region by the wrapper (else an article or main element,
-else the body), without elements of a boilerplate role, and, outside of article and main elements, without the
-template's constant texts. Character references are decoded, white space in a block becomes one
+Every page is then read whole: the content region by the wrapper (else, or where that is only the body, an article
+or main element, else the body), without elements of a boilerplate role and without the template's
+constant texts. Character references are decoded, white space in a block becomes one
 space, blocks are joined by an empty line.
 
 Nothing is sampled and no page's text is capped. Pages with equal texts count once, and a text is template only
@@ -281,10 +281,12 @@ def content_region(shapes: list[tuple[int, list]], sizes: dict[int, int]) -> tup
         for up in above:
             weight[up] += sizes.get(code, 0)
     everything = max(weight.values(), default=0)
+    # an article (or main) element that holds most is the region if it has nearly all that such elements have
+    alike = {tag: sum(weight[c] for c, (_, t, above) in known.items() if t == tag and not any(known[u][1] == tag for u in above - {c})) for tag in ("article", "main")}
     best = ("", 0)
     for code in sorted(known, key=lambda c: (known[c][0].count("/"), known[c][0])):
         where, tag, _ = known[code]
-        if everything and had[code] >= SHARE * pages and (weight[code] >= 0.9 * everything or tag in ("article", "main") and weight[code] >= 0.5 * everything) and tag in BLOCK - {"p", "li", "td", "th"} - HEADINGS:
+        if everything and had[code] >= SHARE * pages and (weight[code] >= 0.9 * everything or tag in alike and weight[code] >= max(0.5 * everything, 0.9 * alike[tag])) and tag in BLOCK - {"p", "li", "td", "th"} - HEADINGS:
             best = (where, code)
     return best
 
@@ -336,27 +338,25 @@ def template_of(root: Node, wrapper: dict) -> dict:
 def _regions(root: Node, wrapper: dict) -> list[Node]:
     """Nodes to read, outermost first."""
     at, semantic = [], []
-    stack = [(root, "", False)]
+    stack = [(root, False)]
     while stack:
-        node, where, inside = stack.pop()
+        node, inside = stack.pop()
         for c in reversed(node.children()):
             if c.drop:
                 continue
-            below = f"{where}/{c.key}" if where else c.key
-            if below == wrapper.get("content"):
+            if c.code == wrapper.get("region"):
                 at.append(c)
             names = set(_NAME.findall(c.attrs.get("itemprop", "").lower()))
             if not inside and (c.tag == "article" or "articlebody" in names):
                 semantic.append((2, c))
             elif not inside and (c.tag == "main" or c.attrs.get("role", "").lower() == "main"):
                 semantic.append((1, c))
-            stack.append((c, below, inside or c.tag == "article"))
+            stack.append((c, inside or c.tag == "article"))
     top = max((k for k, _ in semantic), default=0)
     best = [c for k, c in semantic if k == top]
-    if best and not any(n.tag == "article" for n in at):
-        return [max(best, key=lambda n: sum(map(len, blocks(n, set()))))]
-    if len(at) == 1:
-        return at
+    # html and body say no more than that the page has a text: there an article or main element is narrower
+    if best and not any(n.tag not in ("html", "body") for n in at):
+        at = best
     if at:
         return [max(at, key=lambda n: sum(map(len, blocks(n, set()))))]
     return [root]
@@ -364,8 +364,7 @@ def _regions(root: Node, wrapper: dict) -> list[Node]:
 
 def blocks(top: Node, constant: set[int]) -> list[str]:
     """The texts of a region's blocks in page order."""
-    kept = _semantic(top)
-    return [text for owner, text in _blocks(top) if kept or not constant or text_code(owner, text) not in constant]
+    return [text for owner, text in _blocks(top) if not constant or text_code(owner, text) not in constant]
 
 
 def _blocks(top: Node) -> list[tuple[Node, str]]:
