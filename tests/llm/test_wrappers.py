@@ -111,3 +111,19 @@ def test_copies_do_not_erase_each_other():
     w = wrappers.induce(copies)
     assert all(wrappers.extract(p, w).count("paragraph") == 8 and f"edited {k}" in wrappers.extract(p, w) for k, p in enumerate(copies))
     assert wrappers.extract(copies[0], wrappers.induce(copies[:1] * 9)).count("paragraph") == 8
+
+
+@pytest.mark.parametrize(
+    "body,want",
+    [
+        ("<div class='layout no-sidebar'><article><p>Text</p></article></div>", "Text"),
+        ("<div id=page class=with-sidebar><div class=sidebar>side</div><article><p>Text</p></article></div>", "Text"),
+        ("<form class=search><div class=overlay><main><p>Text</p></main></div></form><nav>menu</nav>", "Text"),
+        ("<div class=has-header><p>Text</p></div><div class=site-footer>low</div>", "Text"),
+        ("<div class=header><article><p>Text</p></article></div>", "Text"),
+        ("<article><p class=legal>The law says <span class=search>so</span></p><div class=notice><p>Note</p></div><div class=ad>buy</div></article>", "The law says so\n\nNote"),
+        ("<div class=modal><p>All there is</p></div>", "All there is"),
+    ],
+)
+def test_names_do_not_drop_the_text(body, want):
+    assert wrappers.extract(f"<html><body>{body}</body></html>", {}) == want

@@ -20,6 +20,7 @@ an empty text; rows without url share one host; repeated rows are each reported.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import html as htmllib
 import json
@@ -64,8 +65,15 @@ DROP_NAMES = set(
     "toolbar copyright legal disclaimer alert".split()
 )
 HEADER_NAMES = {"header"}
+#: Names of other people's or other pages' texts: dropped wherever they stand, articles inside them too.
+OTHER_NAMES = set("comment comments commentlist disqus reply replies respond related recommended".split())
+#: Names that blocks of a text have as well: inside an article only the template's counts drop them.
+MILD_NAMES = set("alert banner copyright disclaimer legal notice search share sharing social".split())
+#: Parts of compound names that say where on the site a thing is.
+PLACES = set("site page global top bottom primary secondary".split())
 CONTENT_NAMES = set("article content post entry story main body text".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+TEXTUAL = HEADINGS | set("p li dd dt td th caption figcaption blockquote pre".split())
 
 _TOKEN = re.compile(r"""<!--(?:.*?-->|.*)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^'">]++|"[^"]*+"|'[^']*+')*+)>|[^<]+|<""", re.S)
 #: A tag whose quotes don't pair up ends at the next bracket.
@@ -75,26 +83,77 @@ _NAME = re.compile(r"[A-Za-z0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parts", "key", "drop", "parent", "depth", "code")
+    __slots__ = ("tag", "attrs", "parts", "key", "drop", "parent", "depth", "code", "named", "leads")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None):
         self.tag, self.attrs, self.parent = tag, attrs, parent
         self.depth = parent.depth + 1 if parent else 0
         self.parts: list = []  # texts and nodes in page order
-        names = set(_NAME.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()))
         self.key = tag + "".join(sorted("." + c for c in attrs.get("class", "").lower().split()))
         #: digest of the path
         self.code = _digest(b"%d " % parent.code + self.key.encode("utf-8", "surrogatepass")) if parent else 0
+        names = boilerplate_names(f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()) if "class" in attrs or "id" in attrs else frozenset()
+        self.named = frozenset() if tag in ("html", "body", "article", "main") else names & DROP_NAMES
+        self.leads = 0
         hidden = "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true"
         header = tag == "header" or bool(names & HEADER_NAMES)
-        self.drop = "all" if tag in DROP_TAGS or hidden or attrs.get("role", "").lower() in DROP_ROLES or tag not in ("html", "body", "article", "main") and names & DROP_NAMES else "header" if header and tag not in HEADINGS else ""
+        always = hidden or tag in RAW or self.named & OTHER_NAMES
+        # "role" and "header" are settled by settle_roles once the page's tree is known
+        self.drop = "all" if always else "role" if tag in DROP_TAGS or attrs.get("role", "").lower() in DROP_ROLES else "name" if self.named else "header" if header and tag not in HEADINGS else ""
 
     def children(self) -> list[Node]:
         return [x for x in self.parts if isinstance(x, Node)]
 
 
+@functools.lru_cache(4096)
+def boilerplate_names(classes: str) -> frozenset[str]:
+    """The boilerplate names among class tokens: whole ones, and compounds of nothing but such names and places on a site."""
+    out: set[str] = set()
+    for token in classes.split():
+        parts = set(_NAME.findall(token))
+        own = parts & (DROP_NAMES | HEADER_NAMES)
+        if own and parts <= own | PLACES:
+            out |= own
+    return frozenset(out)
+
+
+def settle_roles(nodes: list[Node]) -> None:
+    """Decides which elements are dropped by role or name. nodes: all of a page, in page order.
+
+    An element that holds all of the page's article and main elements isn't boilerplate. Inside of these, a name drops
+    containers only, and no mild name does. Where nothing would be left of a page without them, names drop nothing.
+    """
+    gone: dict[int, bool] = {}
+    inside: dict[int, bool] = {}
+    for c in nodes:
+        up = c.parent
+        gone[id(c)] = gone.get(id(up), False) or c.drop == "all"
+        inside[id(c)] = inside.get(id(up), False) or c.tag in ("article", "main")
+    for c in reversed(nodes):
+        c.leads += c.tag in ("article", "main") and not gone[id(c)]
+        c.parent.leads += c.leads
+    total = nodes[0].parent.leads if nodes else 0
+    left: dict[int, bool] = {}
+    some = False
+    for c in nodes:
+        if c.drop in ("role", "name", "header"):
+            if total and c.leads == total:
+                c.drop = ""
+            elif c.drop == "name" and inside[id(c)] and (c.tag not in BLOCK or c.tag in TEXTUAL or c.named <= MILD_NAMES):
+                c.drop = ""
+            elif c.drop == "role":
+                c.drop = "all"
+        left[id(c)] = left.get(id(c.parent), True) and c.drop not in ("all", "name")
+        some = some or left[id(c)] and any(isinstance(x, str) and not x.isspace() for x in c.parts)
+    some = some or not nodes or any(isinstance(x, str) and not x.isspace() for x in nodes[0].parent.parts)
+    for c in nodes:
+        if c.drop == "name":
+            c.drop = "all" if some or total else ""
+
+
 def parse(page: str) -> Node:
     root = top = Node("#", {}, None)
+    nodes: list[Node] = []
     at, size = 0, len(page)
     lower = None
     while at < size:
@@ -124,6 +183,7 @@ def parse(page: str) -> Node:
             top = _closed(top, root, SIBLING[tag], SCOPE - {"td", "th"} if tag == "tr" else SCOPE - SIBLING[tag])
         node = Node(tag, attrs, top)
         top.parts.append(node)
+        nodes.append(node)
         if tag in VOID or given.endswith("/") and tag not in BLOCK:
             continue
         if tag in RAW or tag in ESCAPED:
@@ -137,6 +197,7 @@ def parse(page: str) -> Node:
             continue
         if node.depth < DEEPEST:
             top = node
+    settle_roles(nodes)
     return root
 
 
