@@ -127,3 +127,16 @@ def test_copies_do_not_erase_each_other():
 )
 def test_names_do_not_drop_the_text(body, want):
     assert wrappers.extract(f"<html><body>{body}</body></html>", {}) == want
+
+
+def test_all_regions_are_read():
+    parts = "<article><p>First part</p></article><article class=comment><p>a reader says</p></article><article><p>Second and longer part</p></article><article class=teaser><p>more news</p></article>"
+    assert wrappers.extract(f"<body>{parts}</body>", {}) == "First part\n\nSecond and longer part"
+    nested = "<div itemprop=articleBody><article><p>Text</p><article><p>inner</p></article></article></div>"
+    assert wrappers.extract(f"<body>{nested}</body>", {}) == "Text\n\ninner"
+    pages = [f"<body><p>Site</p><div class=c><p>opening {k} of the text</p></div><p>Site middle</p><div class=c><p>and its ending {k}</p></div></body>" for k in range(5)]
+    w = wrappers.induce(pages)
+    assert w["content"] == "body/div.c"
+    assert [wrappers.extract(p, w) for p in pages] == [f"opening {k} of the text\n\nand its ending {k}" for k in range(5)]
+    split = [f"<body><article class=one><p>the long first part {k} of it {k * 3}</p></article><article class=two><p>second part {k}</p></article></body>" for k in range(5)]
+    assert [wrappers.extract(p, wrappers.induce(split)) for p in split] == [f"the long first part {k} of it {k * 3}\n\nsecond part {k}" for k in range(5)]

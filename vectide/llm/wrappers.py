@@ -7,8 +7,8 @@ are counted: a text that most pages with its path have is template, others are s
 advert and similar roles are boilerplate; of the rest, the container with the most varying text is the
 content region. The wrapper of a host is, for each template, that region's path and the constant texts.
 
-Every page is then read whole: the content region by the wrapper (else, or where that is only the body, an article
-or main element, else the body), without elements of a boilerplate role and without the template's
+Every page is then read whole: all content regions by the wrapper (else, or where that is only the body, an article
+or main elements, else the body), but for comments and teasers, without elements of a boilerplate role and without the template's
 constant texts. Character references are decoded, white space in a block becomes one
 space, blocks are joined by an empty line.
 
@@ -67,6 +67,8 @@ DROP_NAMES = set(
 HEADER_NAMES = {"header"}
 #: Names of other people's or other pages' texts: dropped wherever they stand, articles inside them too.
 OTHER_NAMES = set("comment comments commentlist disqus reply replies respond related recommended".split())
+TEASER_NAMES = set("teaser teasers preview excerpt".split())
+PAID_NAMES = set("ad ads advert adverts advertisement sponsored promo promotion".split())
 #: Names that blocks of a text have as well: inside an article only the template's counts drop them.
 MILD_NAMES = set("alert banner copyright disclaimer legal notice search share sharing social".split())
 #: Parts of compound names that say where on the site a thing is.
@@ -397,30 +399,47 @@ def template_of(root: Node, wrapper: dict) -> dict:
 
 
 def _regions(root: Node, wrapper: dict) -> list[Node]:
-    """Nodes to read, outermost first."""
+    """Nodes to read, in page order: all at the wrapper's path, else all outermost article (or main) elements, but for comments and teasers."""
     at, semantic = [], []
-    stack = [(root, False)]
+    stack = [(c, False) for c in reversed(root.children())]
     while stack:
-        node, inside = stack.pop()
-        for c in reversed(node.children()):
-            if c.drop:
-                continue
-            if c.code == wrapper.get("region"):
-                at.append(c)
-            names = set(_NAME.findall(c.attrs.get("itemprop", "").lower()))
-            if not inside and (c.tag == "article" or "articlebody" in names):
-                semantic.append((2, c))
-            elif not inside and (c.tag == "main" or c.attrs.get("role", "").lower() == "main"):
-                semantic.append((1, c))
-            stack.append((c, inside or c.tag == "article"))
+        c, inside = stack.pop()
+        if c.drop:
+            continue
+        if c.code == wrapper.get("region"):
+            at.append(c)
+        names = set(_NAME.findall(c.attrs.get("itemprop", "").lower()))
+        if not inside and (c.tag == "article" or "articlebody" in names):
+            semantic.append((2, c))
+        elif not inside and (c.tag == "main" or c.attrs.get("role", "").lower() == "main"):
+            semantic.append((1, c))
+        inside = inside or c.tag == "article"
+        stack.extend((x, inside) for x in reversed(c.children()))
     top = max((k for k, _ in semantic), default=0)
-    best = [c for k, c in semantic if k == top]
+    best = _outermost([c for k, c in semantic if k == top])
     # html and body say no more than that the page has a text: there an article or main element is narrower
     if best and not any(n.tag not in ("html", "body") for n in at):
         at = best
-    if at:
-        return [max(at, key=lambda n: sum(map(len, blocks(n, set()))))]
-    return [root]
+    return [n for n in at if not _other(n)] or at or [root]
+
+
+def _outermost(nodes: list[Node]) -> list[Node]:
+    own = set(map(id, nodes))
+
+    def within(node: Node | None) -> bool:
+        while node is not None and id(node) not in own:
+            node = node.parent
+        return node is not None
+
+    return [n for n in nodes if not within(n.parent)]
+
+
+def _other(node: Node) -> bool:
+    """Whether a region is marked as a comment or as a teaser of another page."""
+    names = boilerplate_names(f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}".lower())
+    kinds = set(_NAME.findall(f"{node.attrs.get('itemtype', '')} {node.attrs.get('itemprop', '')}".lower()))
+    tokens = set(node.attrs.get("class", "").lower().split())
+    return bool(names & (OTHER_NAMES | PAID_NAMES) or kinds & {"comment"} or tokens & TEASER_NAMES)
 
 
 def blocks(top: Node, constant: set[int]) -> list[str]:
