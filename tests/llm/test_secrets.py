@@ -70,3 +70,18 @@ def test_redaction_keeps_everything_else(spark):
     out = sorted((tuple(r) for r in secrets.redact(df).collect()), key=str)
     assert out == sorted([(1, 'a [SECRET]" z', "x"), (1, 'a [SECRET]" z', "x"), (2, None, "y"), (3, "clean é", None)], key=str)
     assert secrets.redact(df.limit(0)).columns == df.columns
+
+
+def entropy_spans(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secrets.find_spans(df).collect()}
+    return [[(s.start, s.end) for s in got[k] if s.kind == "entropy"] for k in range(len(texts))]
+
+
+def test_long_paths_do_not_hide_a_token(spark):
+    token = "q9Zt7LmX2vRb8KdW4nYc6HsP"
+    texts = ["/path" * n + "/" + token for n in (12, 13, 40, 4000)] + ["/path" * 4000, "path/" * 20000 + "x123456"]
+    got = entropy_spans(spark, texts)
+    for text, spans in zip(texts[:4], got, strict=False):
+        assert len(spans) == 1 and spans[0][0] <= text.index(token) and spans[0][1] == len(text)
+    assert got[4:] == [[], []]
