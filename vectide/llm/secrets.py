@@ -2,7 +2,8 @@
 
 Base kinds are found as leftmost non-overlapping matches of their pattern over the whole text.
 Matches that fail their length test are dropped after matching, as they have used up their text.
-The fourth kind, entropy, looks at candidate strings (runs of one character class): a window of
+The fourth kind, entropy, looks at candidate strings (runs of one character class, cut into pieces by base
+spans and by segments with an allow-listed word): a window of
 fixed width slides over the candidate while the counts of its characters and the sum of c*log2(c)
 are kept up to date by one addition and one removal a step; where the window's Shannon entropy
 reaches the class's threshold, the candidate is reported from its first such window to its last.
@@ -30,13 +31,18 @@ HEX = r"[0-9a-f]{16,}"
 BASE_KINDS = ("assign", "access", "hex")
 #: Sieves: a text without a match of these can't have a span of the kind.
 ASSIGN_SIEVE = ASSIGN[:-2] + "{%d,})" % ASSIGN_LEAST
+# Forms that aren't secrets; words speak for their segment between / and =, the others for a whole candidate.
+ALLOWED_WORDS = r"example|sample|placeholder|changeme|dummy|your[_-]|x{6,}|0{8,}|0123456789|abcdefgh"
+ALLOWED = r"(?i)" + ALLOWED_WORDS + r"|^(?=[0-9a-f]*+[g-z+/_=-])[^0-9]++$|^[0-9-]+$|^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$|^[a-z]++(?:[_/=+-]++[a-z]++)*+[0-9]{0,4}$"
+#: What divides a run: base spans, and segments with an allow-listed word. As matches of a class they are suppressed.
+CUT = "(?:%s|%s|%s|%s)" % (ASSIGN_SIEVE, ACCESS, HEX, r"(?<![A-Za-z0-9+_-])(?=[A-Za-z0-9+_-]*?(?i:" + ALLOWED_WORDS + "))[A-Za-z0-9+_-]++")
 # Entropy classes as (pattern, window, least bits a character). Repetition is possessive: linear, and no recursion on long runs.
 CLASSES = {
-    "hex": (r"(?<![A-Za-z0-9+/_=-])[0-9A-Fa-f]{20,}(?![A-Za-z0-9+/_=-])", 20, 3.0),
-    "base64": (r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{20,}+", 20, 3.7),
+    "hex": (r"(?<![A-Za-z0-9+/_=-])[0-9A-Fa-f]{20,}+(?![A-Za-z0-9+/_=-])", 20, 3.0),
+    "base64": (CUT + "|(?:(?!" + CUT + ")[A-Za-z0-9+/_=-]){20,}+", 20, 3.7),
 }
-# Forms that aren't secrets.
-ALLOWED = r"(?i)example|sample|placeholder|changeme|dummy|your[_-]|x{6,}|0{8,}|0123456789|abcdefgh|^[0-9-]+$|^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$|^[a-z]++(?:[_/=+-]++[a-z]++)*+[0-9]{0,4}$"
+#: Texts without a match of this have no candidate of the class.
+SIEVES = {"hex": CLASSES["hex"][0], "base64": r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{20,}+"}
 REPLACEMENT = "[SECRET]"
 
 SPAN = "struct<start:int,rank:int,end:int,kind:string>"
@@ -98,7 +104,7 @@ def find_spans(docs: DataFrame, text_col: str = "text", out: str = "spans", entr
     base = F.concat(*[F.when(text.rlike(sieve), spans).otherwise(none) for sieve, spans in ((ASSIGN_SIEVE, assign), (ACCESS, access), (HEX, hexes))])
     docs = docs.withColumn(out, base)
     if entropy:
-        more = [F.when(text.rlike(c[0]), _entropy_spans(text, F.col(ident(out)), *c)).otherwise(none) for c in CLASSES.values()]
+        more = [F.when(text.rlike(SIEVES[name]), _entropy_spans(text, F.col(ident(out)), *c)).otherwise(none) for name, c in CLASSES.items()]
         docs = docs.withColumn(out, F.concat(F.col(ident(out)), F.array_distinct(F.concat(*more))))
     return docs.withColumn(out, F.sort_array(F.col(ident(out))))
 
