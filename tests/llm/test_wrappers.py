@@ -140,3 +140,39 @@ def test_all_regions_are_read():
     assert [wrappers.extract(p, w) for p in pages] == [f"opening {k} of the text\n\nand its ending {k}" for k in range(5)]
     split = [f"<body><article class=one><p>the long first part {k} of it {k * 3}</p></article><article class=two><p>second part {k}</p></article></body>" for k in range(5)]
     assert [wrappers.extract(p, wrappers.induce(split)) for p in split] == [f"the long first part {k} of it {k * 3}\n\nsecond part {k}" for k in range(5)]
+
+
+def test_letters_that_grow_in_lower_case_do_not_shift_the_text():
+    dotted = "İ" * 60
+    body = f"<article><p>{dotted}</p><script>x</SCRIPT ><p>second</p><style>y</scripty></style><p>third</p></article>"
+    assert wrappers.extract(f"<body>{body}</body>", {}) == f"{dotted}\n\nsecond\n\nthird"
+
+
+def test_wide_siblings_are_matched_in_order(spark):
+    def wide(n, step):
+        return "<html><body><div class=menu>Site menu</div><div class=c>" + "".join(f"<div class=k{j}><p>text {j} of {n}</p></div>" for j in range(0, 5000, step)) + "</div></body></html>"
+
+    a, b = wrappers.Outline(wrappers.parse(wide(1, 1))), wrappers.Outline(wrappers.parse(wide(2, 2)))
+    (x, _), (y, _) = wrappers._tree(a.skeleton), wrappers._tree(b.skeleton)
+    assert wrappers.match(x, y)[0] == len(b.skeleton) + 1
+    pages = [wide(k, 1) for k in range(4)]
+    w = wrappers.induce(pages)
+    assert [wrappers.extract(p, w) for p in pages] == ["\n\n".join(f"text {j} of {k}" for j in range(5000)) for k in range(4)]
+
+
+def test_shapes_in_parts_give_the_same_templates(spark, monkeypatch):
+    usual = [f"<html><body><div class=a><p>usual {k} says {k * 7}</p>{'<ul><li>x</ul>' if k % 2 else ''}{'<h2>y</h2>' if k % 3 else ''}{'<table><tr><td>z</table>' if k % 5 else ''}</div><div class=b><p>Usual site line</p><div><p>and more of it</p></div></div></body></html>" for k in range(60)]
+    rare = [f"<html><body><table><tr><td class=x><div class=m>menu of the rare part</div><div class=t><p>rare {k} tells {k * 3} things</p></div></td></tr></table></body></html>" for k in range(5)]
+    df = spark.createDataFrame([("h", p) for p in usual + rare], "host string, html string")
+    whole = json.loads(wrappers.host_wrappers(df).first().wrapper)
+    monkeypatch.setattr(wrappers, "SHAPES_PER_TASK", 2)
+    parts = json.loads(wrappers.host_wrappers(df).first().wrapper)
+    assert parts == whole and len(whole["others"]) == 1
+
+
+def test_how_many_pages_the_wrapper_changes():
+    pages = [f"<html><body><div class=shell><div class=top><p>Welcome to our site</p></div><div class=c><p>story {k} of the day {k * 31}</p><div class=box><p>Read our rules</p></div><p>and how it ended {k}</p></div></div></body></html>" for k in range(10)]
+    w = wrappers.induce(pages)
+    got = [wrappers.extract(p, w) for p in pages]
+    assert got == [f"story {k} of the day {k * 31}\n\nand how it ended {k}" for k in range(10)]
+    assert sum(g != wrappers.extract(p, {}) for g, p in zip(got, pages, strict=True)) == 10

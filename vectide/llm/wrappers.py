@@ -13,7 +13,8 @@ constant texts. Character references are decoded, white space in a block becomes
 space, blocks are joined by an empty line.
 
 Nothing is sampled and no page's text is capped. Pages with equal texts count once, and a text is template only
-over pages whose other texts differ. The distinct shapes of a host meet in one task. Wrappers are broadcast only
+over pages whose other texts differ. The distinct shapes of a host meet in tasks of ``SHAPES_PER_TASK``, then
+what leads the templates found in these does. Wrappers are broadcast only
 under ``BROADCAST_BYTES``; beyond it they are joined by host. Null pages and pages without text give
 an empty text; rows without url share one host; repeated rows are each reported.
 """
@@ -41,6 +42,8 @@ LEAST_PAGES = 3
 DIFFERS, DIFFERS_INSIDE = 0.25, 0.5
 #: Shapes are one template if tree matching pairs this share of their nodes.
 ALIKE = 0.7
+#: Distinct shapes of a host that one task compares at first.
+SHAPES_PER_TASK = 4_096
 BROADCAST_BYTES = 8_000_000
 #: Elements nested deeper are read as if they stood at this depth, as browsers do.
 DEEPEST = 256
@@ -153,11 +156,16 @@ def settle_roles(nodes: list[Node]) -> None:
             c.drop = "all" if some or total else ""
 
 
+@functools.cache
+def _end_tag(tag: str) -> re.Pattern:
+    """The end tag of a raw element, letters in either case as ASCII has them: offsets stay those of the page."""
+    return re.compile(f"</{tag}(?=[\\s/>]|$)", re.I | re.A)
+
+
 def parse(page: str) -> Node:
     root = top = Node("#", {}, None)
     nodes: list[Node] = []
     at, size = 0, len(page)
-    lower = None
     while at < size:
         m = _TOKEN.match(page, at)
         closing, tag, given = m.groups()
@@ -189,9 +197,8 @@ def parse(page: str) -> Node:
         if tag in VOID or given.endswith("/") and tag not in BLOCK:
             continue
         if tag in RAW or tag in ESCAPED:
-            lower = lower if lower is not None else page.lower()
-            end = lower.find(f"</{tag}", at)
-            end = size if end < 0 else end
+            end = _end_tag(tag).search(page, at)
+            end = end.start() if end else size
             if tag in ESCAPED:
                 node.parts.append(htmllib.unescape(page[at:end]))
             close = page.find(">", end)
@@ -214,29 +221,43 @@ def _closed(top: Node, root: Node, tags: set[str], scope: set[str] = SCOPE) -> N
 
 
 def match(a: Node, b: Node) -> tuple[int, list]:
-    """Simple tree matching: the size of the largest matching of two trees with equal roots, and its pairs as nested lists."""
+    """Simple tree matching: the size of the largest matching of two trees with equal roots, and its pairs as nested lists.
+
+    Siblings are aligned by the heaviest chain of equally labelled pairs that keeps both orders. Only such pairs are
+    visited, and the best chain below a place is read off a tree of prefix maxima, so siblings of distinct labels
+    (those of shapes) take n log n steps.
+    """
     x, y = [c for c in a.children() if c.tag not in RAW], [c for c in b.children() if c.tag not in RAW]
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    subs: dict[tuple[int, int], tuple[int, list]] = {}
-    for i, p in enumerate(x):
-        row, prev = best[i + 1], best[i]
-        for j, q in enumerate(y):
-            here = max(row[j], prev[j + 1])
-            if p.key == q.key:
-                subs[i, j] = sub = match(p, q) if p.parts or q.parts else (1, [(p, q)])
-                here = max(here, prev[j] + sub[0])
-            row[j + 1] = here
-    pairs, i, j = [(a, b)], len(x), len(y)
-    while i and j:
-        sub = subs.get((i - 1, j - 1))
-        if sub and best[i][j] == best[i - 1][j - 1] + sub[0]:
-            pairs.append(sub[1])
-            i, j = i - 1, j - 1
-        elif best[i][j] == best[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
-    return best[-1][-1] + 1, pairs
+    places: dict[str, list[int]] = {}
+    for j, q in enumerate(y):
+        places.setdefault(q.key, []).append(j)
+    size = len(y) + 1
+    best: list[tuple[int, tuple | None]] = [(0, None)] * (size + 1)  # maxima of chains that end in a stretch of places
+    for p in x:
+        found = []
+        for j in places.get(p.key, ()):
+            q, k, before = y[j], j, (0, None)
+            while k > 0:
+                if best[k][0] > before[0]:
+                    before = best[k]
+                k &= k - 1
+            sub = match(p, q) if p.parts and q.parts else (1, [(p, q)])
+            found.append((j + 1, (before[0] + sub[0], (sub[1], before[1]))))
+        for k, chain in found:  # after all places were read: p is matched once
+            while k <= size:
+                if chain[0] > best[k][0]:
+                    best[k] = chain
+                k += k & -k
+    top, k = (0, None), len(y)
+    while k > 0:
+        if best[k][0] > top[0]:
+            top = best[k]
+        k &= k - 1
+    subs, link = [], top[1]
+    while link:
+        subs.append(link[0])
+        link = link[1]
+    return top[0] + 1, [(a, b), *reversed(subs)]
 
 
 def _flat(pairs: list) -> Iterator[tuple[Node, Node]]:
@@ -311,18 +332,23 @@ def _tree(skeleton: list) -> tuple[Node, int]:
 
 
 def templates(shapes: list[tuple[int, int, list]]) -> dict[int, int]:
-    """shapes: (shape, pages, skeleton). The template of each shape: the first larger one whose tree matches it by ``ALIKE``, else its own."""
-    leaders: list[tuple[Node, int]] = []
+    """shapes: (shape, pages, skeleton). The template of each shape, named by its leading shape: the first larger one whose tree matches it by ``ALIKE``, else its own.
+
+    Matched nodes have equal paths, so the number of common paths bounds a matching and spares most of them.
+    """
+    leaders: list[tuple[int, Node, int, set[int]]] = []
     out = {}
     for shape, _, skeleton in sorted(shapes, key=lambda x: (-x[1], x[0])):
         tree, size = _tree(skeleton)
-        for k, (other, n) in enumerate(leaders):
-            if 2 * min(size, n) >= ALIKE * (size + n) and 2 * match(other, tree)[0] >= ALIKE * (size + n):
-                out[shape] = k
+        codes = {x[2] for x in skeleton}
+        for leader, other, n, had in leaders:
+            need = ALIKE * (size + n)
+            if 2 * min(size, n) >= need and 2 * (len(codes & had) + 1) >= need and 2 * match(other, tree)[0] >= need:
+                out[shape] = leader
                 break
         else:
-            out[shape] = len(leaders)
-            leaders.append((tree, size))
+            out[shape] = shape
+            leaders.append((shape, tree, size, codes))
     return out
 
 
@@ -536,7 +562,7 @@ def host_wrappers(pages: DataFrame) -> DataFrame:
 
         shapes, pages, skeletons = (rows.column(c).to_pylist() for c in ("shape", "pages", "skeleton"))
         of = own([(s, n, json.loads(k)) for s, n, k in zip(shapes, pages, skeletons, strict=True)])
-        return pa.table({"host": rows.column("host"), "shape": rows.column("shape"), "template": pa.array([of[s] for s in shapes], pa.int32()), "pages": rows.column("pages"), "skeleton": rows.column("skeleton")})
+        return pa.table({"host": rows.column("host"), "shape": rows.column("shape"), "template": pa.array([of[s] for s in shapes], pa.int64()), "pages": rows.column("pages"), "skeleton": rows.column("skeleton")})
 
     def fit(rows: pa.Table) -> pa.Table:
         from vectide.llm.wrappers import host_wrapper as own
@@ -552,7 +578,7 @@ def host_wrappers(pages: DataFrame) -> DataFrame:
     found = pages.filter("html is not null").select("host", "html").mapInArrow(outlines, kinds)
     found = saved(found.groupBy("host", "shape", "page").agg(F.first("texts").alias("texts"), F.max("skeleton").alias("skeleton")))
     shapes = found.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("pages"), F.max("skeleton").alias("skeleton"))
-    shapes = saved(shapes.groupBy("host").applyInArrow(group, "host string, shape long, template int, pages long, skeleton string"))
+    shapes = _templates(shapes, group)
     found = found.drop("skeleton").join(shapes.select("host", "shape", "template"), ["host", "shape"]).select(*key, "texts")
 
     counts = saved(found.select(*key, F.explode("texts").alias("x")).groupBy(*key, "x.p", "x.t").agg(F.count(F.lit(1)).alias("pages"), F.sum("x.n").alias("size")))
@@ -578,6 +604,21 @@ def host_wrappers(pages: DataFrame) -> DataFrame:
     return parts.groupBy("host").applyInArrow(fit, "host string, wrapper string")
 
 
+def _templates(shapes: DataFrame, group) -> DataFrame:  # noqa: ANN001
+    """shapes: host, shape, pages, skeleton. Adds template. Shapes of a host meet in parts of about ``SHAPES_PER_TASK``; then the parts' leading shapes meet."""
+    kinds = "host string, shape long, template long, pages long, skeleton string"
+    shapes = saved(shapes)
+    parts = shapes.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / SHAPES_PER_TASK).alias("parts"))
+    dealt = shapes.join(parts, "host").withColumn("part", F.pmod(F.xxhash64("shape"), F.col("parts"))).drop("parts")
+    first = dealt.groupBy("host", "part").applyInArrow(group, kinds)
+    if parts.filter("parts > 1").isEmpty():
+        return saved(first)
+    first = saved(first)
+    leaders = first.groupBy("host", "template").agg(F.sum("pages").alias("pages")).select("host", F.col("template").alias("shape"), "pages").join(shapes.select("host", "shape", "skeleton"), ["host", "shape"])
+    merged = leaders.groupBy("host").applyInArrow(group, kinds).select("host", F.col("shape").alias("template"), F.col("template").alias("merged"))
+    return saved(first.join(merged, ["host", "template"]).select("host", "shape", F.col("merged").alias("template"), "pages", "skeleton"))
+
+
 def main_texts(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per row of pages: page_id, url, text, n_chars."""
     rows = pages.select(F.col(ident(id_col)).alias("page_id"), F.col(ident(url_col)).alias("url"), F.col(ident(html_col)).alias("html"), host_of(F.col(ident(url_col))).alias("host"))
