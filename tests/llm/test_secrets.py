@@ -21,11 +21,45 @@ def base(text):
     return sorted(out)
 
 
+# The scan's fixed values, stated again here.
+WORDS = r"example|sample|placeholder|changeme|dummy|your[_-]|x{6,}|0{8,}|0123456789|abcdefgh"
+ALLOWED = re.compile(r"(?i)" + WORDS + r"|^(?=[0-9a-f]*[g-z+/_=-])[^0-9]+$|^[0-9-]+$|^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$|^[a-z]+([_/=+-]+[a-z]+)*[0-9]{0,4}$")
+RUN = re.compile(r"[A-Za-z0-9+/_=-]+")
+
+
+def pieces(text):
+    """Runs of the wide class, cut at base matches and at segments with an allow-listed word."""
+    cuts = [re.compile(ASSIGN.pattern[:-2] + "{12,})"), re.compile(r"AKIA[A-Z0-9]{14,}"), re.compile("[0-9a-f]{16,}")]
+    segment, wide = re.compile(r"[A-Za-z0-9+_-]+"), set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
+
+    def cut(at):
+        found = next((m for c in cuts if (m := c.match(text, at))), None)
+        if not found and (at == 0 or not segment.match(text[at - 1])) and (m := segment.match(text, at)) and re.search("(?i)" + WORDS, m[0]):
+            found = m
+        return found
+
+    at, out = 0, []
+    while at < len(text):
+        if m := cut(at):
+            at = m.end()
+            continue
+        begin = at
+        while at < len(text) and text[at] in wide and not cut(at):
+            at += 1
+        out.append((begin, at))
+        at += at == begin
+    return [(a, z) for a, z in out if z - a >= 20]
+
+
 def entropy(text, spans):
     out = set()
-    for pattern, width, least in secrets.CLASSES.values():
-        for m in re.finditer(pattern, text):
-            if re.search(secrets.ALLOWED, m[0]) or any(s < m.end() and m.start() < e for s, _, e, _ in spans):
+    hexes = [(m.start(), m.end(), 3.0) for m in RUN.finditer(text) if re.fullmatch("[0-9A-Fa-f]{20,}", m[0])]
+    runs = [(a, z, 3.7) for a, z in pieces(text)]
+    width = 20
+    for found in (hexes, runs):
+        for a, z, least in found:
+            m = re.compile("(?s).*").match(text, a, z)
+            if ALLOWED.search(m[0]) or any(s < m.end() and m.start() < e for s, _, e, _ in spans):
                 continue
             hot = [k for k in range(len(m[0]) - width + 1) if -sum(c / width * math.log2(c / width) for c in Counter(m[0][k : k + width]).values()) >= least - 1e-9]
             if hot:
@@ -104,3 +138,33 @@ def test_long_runs_of_many_pieces(spark):
     texts = ["Ab/" * 60000 + "1", ("q9Zt7LmX2vRb8KdW4nYc/example/" * 300), "example" * 30000 + "9"]
     got = entropy_spans(spark, texts)
     assert got[0] == [] and len(got[1]) == 300 and got[2] == []
+
+
+def test_many_spans_in_one_text(spark):
+    import time
+
+    rng = random.Random(5)
+    one = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(20))
+    text = " ".join(one() for _ in range(40_000))
+    long = "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghjkmnpqrstuvwxyz23456789") for _ in range(200_000))
+    began = time.perf_counter()
+    got = {r.doc_id: r.spans for r in secrets.find_spans(spark.createDataFrame([(1, text), (2, "k " + long)], "doc_id long, text string")).collect()}
+    assert time.perf_counter() - began < 60
+    assert [(s.start, s.end) for s in got[1] if s.kind == "hex"] == [(21 * k, 21 * k + 20) for k in range(40_000)]
+    assert [(s.kind, s.start, s.end) for s in got[2] if s.kind == "entropy"][0][1] <= 3
+    mixed = " ".join(f"{one()} {k}Zq7RtX2mK9pLw4Vb8Nc3" for k in range(10_000))
+    df = spark.createDataFrame([(1, mixed)], "doc_id long, text string")
+    (spans,) = [r.spans for r in secrets.find_spans(df).collect()]
+    assert [s.kind for s in spans].count("hex") == 10_000 and [s.kind for s in spans].count("entropy") > 9_000
+    text, at = [], 0
+    for s in spans:
+        if s.start >= at:
+            text += [mixed[at : s.start], secrets.REPLACEMENT]
+        at = max(at, s.end)
+    assert secrets.redact(df).first().text == "".join(text) + mixed[at:]
+    assert time.perf_counter() - began < 120
+
+
+def test_a_table_with_spans(spark):
+    df = spark.createDataFrame([(1, "deadbeefdeadbeef00", "x")], "doc_id long, text string, spans string")
+    assert [tuple(s) for s in secrets.find_spans(df).first().spans] == [(0, 2, 18, "hex")]
