@@ -89,4 +89,20 @@ def test_odd_tables(spark):
     assert got == sorted([(7, 2, 5), (7, 2, 5), (5, 2, 5), (None, 2, 5), (None, 0, None), (7, 1, 7)], key=str)
     assert nj.ngram_components(df.limit(0)).count() == 0
     kept = nj.deduplicated(df)
-    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [5, 7]
+    assert kept.columns == df.columns and sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(5, "a B c d"), (None, None), (7, "z")], key=str)
+
+
+def test_texts_under_one_id_are_told_apart(spark):
+    long = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, long), (1, "quite another text of some words"), (1, long), (2, long + " x"), (None, long), (None, "nameless one of five words"), (3, " "), (3, ""), (3, "")]
+    df = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, key_one int").repartition(3)
+    kept = nj.deduplicated(df)
+    assert kept.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, long), (1, "quite another text of some words"), (None, "nameless one of five words"), (3, " "), (3, "")], key=str)
+
+
+def test_deduplicated_keeps_one_of_each_component(spark):
+    rows = corpus(5)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = sorted({c for i, n, c in brute(rows, 5, 80) if n} | {i for i, n, c in brute(rows, 5, 80) if not n})
+    assert sorted(r.doc_id for r in nj.deduplicated(df).collect()) == want

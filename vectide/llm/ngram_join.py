@@ -20,7 +20,8 @@ A pair is verified only if the prefixes meet under every order.
 4. Components over the links, then the least doc_id of each.
 
 Nothing is capped: a common token only counts as a late one in the order. Null and wordless texts have
-empty sets and link with nothing, not with each other. Repeated rows and repeated doc_ids are each
+empty sets and link with nothing, not with each other. Verification compares the shingles' hashes
+(54 to 64 bits, see ``_pack``), not their words. Repeated rows and repeated doc_ids are each
 reported; a component's id is its least doc_id. Rows without doc_id take part but name no component.
 """
 
@@ -35,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectide.llm.common import free_shuffles, ident, saved, tidy
+from vectide.llm.common import free_name, free_shuffles, ident, saved, tidy
 from vectide.llm.graph import components
 from vectide.llm.shingles import mix64, set_digest, shingle_sets
 
@@ -63,16 +64,17 @@ def _values(planes: bytes) -> np.ndarray:
 
 
 def set_sizes(docs: DataFrame, words: int) -> DataFrame:
-    """docs: doc_id, text. Returns doc_id, n (set size), cls (digest; null for an empty set)."""
-    kind = dict(docs.dtypes)["doc_id"]
+    """docs: text and other columns. Returns the others, n (set size), cls (digest; null for an empty set)."""
+    kept = [c for c in docs.columns if c != "text"]
+    kinds = ", ".join(f"{c} {k}" for c, k in docs.dtypes if c != "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [(len(s), set_digest(s) if len(s) else None) for s in shingle_sets(b.column("text"), words)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x[0] for x in sets], pa.int64()), pa.array([x[1] for x in sets], pa.binary())], ["doc_id", "n", "cls"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array([x[0] for x in sets], pa.int64()), pa.array([x[1] for x in sets], pa.binary())], [*kept, "n", "cls"])
         tidy()
 
-    return docs.mapInArrow(run, f"doc_id {kind}, n long, cls binary")
+    return docs.mapInArrow(run, f"{kinds}, n long, cls binary")
 
 
 _PACKED = pa.schema([("key", pa.int64()), ("batch", pa.int64()), ("tokens", pa.binary()), ("owner", pa.binary()), ("rank", pa.binary())])
@@ -311,27 +313,46 @@ def _rest(large: DataFrame, links: DataFrame, member: DataFrame) -> DataFrame:
     return left.select(*columns).unionByName(right.select(*columns))
 
 
-def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, cluster_tokens: int = CLUSTER_TOKENS) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(ident(id_col)).alias("doc_id"), F.coalesce(F.col(ident(text_col)), F.lit("")).alias("text"))
+def _joined(rows: DataFrame, words: int, percent: int, cluster_tokens: int) -> tuple[DataFrame, DataFrame]:
+    """rows: doc_id, text and others. The saved set of each row (all but the text, n, cls), and of each class its component: cls, root, least (id; of equal sets)."""
+    spark = rows.sparkSession
     sizes = saved(set_sizes(rows, words))
     total = sizes.agg(F.sum("n")).first()[0] or 0
     least = sizes.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"))
     links = class_links(rows, total, words, percent, cluster_tokens) if total else None
     free_shuffles(spark)
-    if links is not None and not links.isEmpty():
-        roots = components(links)
-        least = least.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
-        lowest = least.groupBy("root").agg(F.min("least").alias("lowest"))
-        least = least.join(lowest, "root").select("cls", F.col("lowest").alias("least"))
-    out = sizes.join(least.withColumnRenamed("cls", "of"), F.col("cls") == F.col("of"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    if links is None or links.isEmpty():
+        return sizes, least.select("cls", F.col("cls").alias("root"), "least")
+    roots = components(links)
+    return sizes, least.join(roots, F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("root", "cls").alias("root"), "least")
+
+
+def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, cluster_tokens: int = CLUSTER_TOKENS) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id."""
+    rows = docs.select(F.col(ident(id_col)).alias("doc_id"), F.coalesce(F.col(ident(text_col)), F.lit("")).alias("text"))
+    sizes, classes = _joined(rows, words, percent, cluster_tokens)
+    lowest = classes.groupBy("root").agg(F.min("least").alias("lowest"))
+    least = classes.join(lowest, "root").select(F.col("cls").alias("of"), "lowest")
+    out = sizes.join(least, F.col("cls") == F.col("of"), "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("lowest", "doc_id").alias("component_id"))
 
 
 def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each component: that whose id names it. Rows without id stay; of repeated rows one stays."""
-    found = ngram_components(docs, id_col=id_col, text_col=text_col, words=words, percent=percent)
-    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    named = docs.filter(F.col(ident(id_col)).isNotNull()).join(kept, F.col(ident(id_col)) == F.col("kept_id"), "left_semi")
-    return named.dropDuplicates([id_col]).unionByName(docs.filter(F.col(ident(id_col)).isNull()))
+    """docs with one document of each component, that of the least id (rows without id come last, ties go by text).
+
+    A document is an id with a text: different texts under one id are told apart, and of rows equal in both
+    one stays. Texts without words are in no component and all stay but for such repetitions.
+    """
+    one, two = free_name(docs, "key_one"), free_name(docs, "key_two")
+    key = [F.col(ident(id_col)), F.col(ident(text_col))]
+    keyed = docs.withColumn(one, F.xxhash64(*key)).withColumn(two, F.xxhash64(F.lit(2), *reversed(key)))
+    rows = keyed.select(F.col(ident(id_col)).alias("doc_id"), F.coalesce(F.col(ident(text_col)), F.lit("")).alias("text"), F.col(one).alias("k1"), F.col(two).alias("k2"))
+    sizes, classes = _joined(rows, words, percent, CLUSTER_TOKENS)
+    grouped = sizes.join(classes.select(F.col("cls").alias("of"), "root"), F.col("cls") == F.col("of"), "left")
+    first = grouped.filter("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "k1", "k2")).alias("x"))
+    kept = first.select("x.k1", "x.k2").unionByName(sizes.filter("cls is null").select("k1", "k2"))
+    kept = saved(kept.select(F.col("k1").alias("kept_one"), F.col("k2").alias("kept_two")))
+    repeated = sizes.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    if not repeated.isEmpty():  # partly made one before texts are shuffled
+        keyed = keyed.dropDuplicates([one, two])
+    return keyed.join(kept, (F.col(one) == F.col("kept_one")) & (F.col(two) == F.col("kept_two")), "left_semi").drop(one, two)
