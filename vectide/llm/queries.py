@@ -101,12 +101,12 @@ ORACLES: dict = {
     """,
     "op7_chats": """
         WITH t AS (
-            SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, coalesce(role, 'unknown'), coalesce(text, '')) AS pos,
+            SELECT log, conv_id, row_number() OVER (PARTITION BY log ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) AS pos,
                    '<|im_start|>' || coalesce(role, 'unknown') || chr(10) || replace(coalesce(text, ''), '<|', '< |') || '<|im_end|>' || chr(10) AS shown,
                    {'role': coalesce(role, 'unknown'), 'text': coalesce(text, '')} AS said
-            FROM conversations
+            FROM (SELECT coalesce(CAST(conv_id AS VARCHAR), '-' || row_number() OVER ()) AS log, * FROM conversations)
         ),
-        c AS (SELECT conv_id, count(*) AS n, list(said ORDER BY pos) AS turns, string_agg(shown, '' ORDER BY pos) AS chat FROM t GROUP BY conv_id),
+        c AS (SELECT min(conv_id) AS conv_id, count(*) AS n, list(said ORDER BY pos) AS turns, string_agg(shown, '' ORDER BY pos) AS chat FROM t GROUP BY log),
         u AS (SELECT turns, min(conv_id) AS conv_id, min(n) AS n_turns, count(*) AS n_copies, min(chat) AS chat FROM c GROUP BY turns),
         p AS (SELECT DISTINCT turns[1:k] AS turns FROM (SELECT turns, unnest(range(1, n_turns)) AS k FROM u))
         SELECT conv_id, n_turns, n_copies, chat FROM u WHERE turns NOT IN (SELECT turns FROM p)
