@@ -75,3 +75,25 @@ def test_mixed_rows(spark):
     assert mixed.count() == plan.agg(F.sum(F.size("draws"))).first()[0]
     assert mixed.select("mix_shard").distinct().count() > 3
     assert mixing.mix(df.limit(0)).count() == 0
+
+
+def test_large_quotas_are_drawn_by_deviation(spark):
+    import time
+
+    quotas = spark.createDataFrame([(1, 10**8), (2, 3 * 10**8), (3, 17)], "sid int, q long")
+    began = time.perf_counter()
+    rows = mixing.split_quotas(quotas, 4, 5).collect()
+    assert time.perf_counter() - began < 30
+    for sid, q in ((1, 10**8), (2, 3 * 10**8), (3, 17)):
+        per = [r.q for r in rows if r.sid == sid]
+        assert sum(per) == q and all(abs(x - q / 4) < 8 * (q**0.5) for x in per)
+
+
+def test_deep_trees_are_dealt_anew(spark):
+    rows = mixing.split_quotas(spark.createDataFrame([(1, 5000), (2, 300)], "sid int, q long"), 200, 3).collect()
+    assert {s: sum(r.q for r in rows if r.sid == s) for s in (1, 2)} == {1: 5000, 2: 300} and len({r.shard for r in rows}) == 200
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b", "s", 9, 8), (2, "c", "t", 7, 6)], "doc_id long, text string, source string, mix_epoch int, mix_shard int")
+    assert mixing.mix(df).columns == [*df.columns, "_mix_epoch", "_mix_shard"]

@@ -12,7 +12,8 @@
 4. Rows are shuffled inside their shard by a keyed hash.
 
 All of it is DataFrame expressions; the randomness is keyed hashing, so reruns agree. Windows run
-over (source, block), never over a source's documents, so a hot source is spread like any other.
+over (source, block), never over a source's documents, so a hot source is spread like any other. What meets
+in one place: a row for each source (targets, and one tree node's quotas), and the sums of one source's blocks.
 Null texts have no words, sourceless rows form one source; an empty table gives an empty result;
 a source without words has the target 0 and isn't drawn; repeated rows are drawn each on its own.
 """
@@ -24,12 +25,14 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vectide.llm.common import ident, saved, words_count
+from vectide.llm.common import free_name, ident, saved, words_count
 
 DOCS_PER_BLOCK = 512
 WORDS_PER_SHARD = 8_000_000
 #: Further passes over the block in which a target is met.
 REFINE = 4
+#: Levels of the tree after which its nodes are dealt anew; the nodes of a level are independent.
+SPREAD_LEVELS = 6
 #: A table of sources is broadcast up to so many rows (under 2 MB); beyond it Spark joins it by shuffle.
 BROADCAST_SOURCES = 10_000
 
@@ -51,14 +54,21 @@ def targets(stats: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: floa
 
 
 def _drawn(total: Column, good: Column, n: Column, key: list[Column]) -> Column:
-    """How many of n draws from total items are among the good ones: the largest of log probability plus Gumbel noise."""
-    lo, hi = F.greatest(F.lit(0).cast("long"), n + good - total), F.least(good, n)
+    """How many of n draws from total items are among the good ones: the largest of log probability plus Gumbel noise.
+
+    Only numbers within twelve deviations (and 64) of the most likely one are looked at; the rest have less than
+    e to the -72 of the probability, so the work grows with the deviation, not with n.
+    """
+    size, share = F.greatest(total, F.lit(1)).cast("double"), good / F.greatest(total, F.lit(1)).cast("double")
+    spread = F.sqrt(F.greatest(F.lit(0.0), n * share * (1 - share) * (size - n) / F.greatest(size - 1, F.lit(1.0))))
+    mode, reach = F.floor((n + 1) * ((good + 1) / (size + 2))).cast("long"), (F.ceil(12 * spread) + 64).cast("long")
+    lo, hi = F.greatest(F.lit(0).cast("long"), n + good - total, mode - reach), F.least(good, n, mode + reach)
 
     def step(s: Column, k: Column) -> Column:
         noise = -F.log(-F.log(_unit(*key, k)))
         better = s["log"] + noise > s["top"]
         ratio = (good - k).cast("double") * (n - k) / ((k + 1).cast("double") * (total - good - n + k + 1))
-        return F.struct((s["log"] + F.when(k < hi, F.log(ratio)).otherwise(F.lit(0.0))).alias("log"), F.when(better, s["log"] + noise).otherwise(s["top"]).alias("top"), F.when(better, k).otherwise(s["k"]).alias("k"))
+        return F.struct((s["log"] + F.when((k < good) & (k < n), F.log(ratio)).otherwise(F.lit(0.0))).alias("log"), F.when(better, s["log"] + noise).otherwise(s["top"]).alias("top"), F.when(better, k).otherwise(s["k"]).alias("k"))
 
     start = F.struct(F.lit(0.0).alias("log"), F.lit(-math.inf).alias("top"), lo.alias("k"))
     return F.aggregate(F.sequence(lo, hi), start, step, lambda s: s["k"])
@@ -67,7 +77,9 @@ def _drawn(total: Column, good: Column, n: Column, key: list[Column]) -> Column:
 def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     """quotas: sid, q (draws of each source). Returns sid, shard, q: the draws that each shard gets of each source."""
     node = quotas.agg(F.array_sort(F.collect_list(F.struct("sid", F.col("q").cast("long").alias("q")))).alias("qs")).select(F.lit(0).alias("first"), F.lit(shards).alias("n"), "qs")
-    for _ in range(max(0, math.ceil(math.log2(shards)))):
+    for level in range(max(0, math.ceil(math.log2(shards)))):
+        if level and level % SPREAD_LEVELS == 0:
+            node = node.repartition("first", "n")
         half = F.floor((F.col("n") + 1) / 2).cast("int")
         total = F.aggregate("qs", F.lit(0).cast("long"), lambda s, x: s + x["q"])
         node = node.withColumn("half", half).withColumn("total", total).withColumn("take", F.when(F.col("n") > 1, F.floor(F.col("total") * F.col("half") / F.col("n"))).otherwise(F.col("total")).cast("long"))
@@ -146,7 +158,7 @@ def _fitted(rows: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, *, seed: int = 7, **options) -> DataFrame:
-    """The mixed rows of docs, as often as the mix takes each, dealt by shard and shuffled inside it; plus epoch and shard."""
+    """The mixed rows of docs, as often as the mix takes each, dealt by shard and shuffled inside it; plus mix_epoch and mix_shard (with _ before, where docs has such columns)."""
     rows = mix_plan(docs, seed=seed, **options).select("row", "key", F.explode("draws").alias("draw"))
     rows = rows.repartition("draw.shard").sortWithinPartitions(F.col("draw.shard"), F.xxhash64("key", "draw.epoch", F.lit(seed + 1)))
-    return rows.select("row.*", F.col("draw.epoch").alias("mix_epoch"), F.col("draw.shard").alias("mix_shard"))
+    return rows.select("row.*", F.col("draw.epoch").alias(free_name(docs, "mix_epoch")), F.col("draw.shard").alias(free_name(docs, "mix_shard")))
