@@ -5,6 +5,7 @@ from itertools import islice
 
 import pytest
 import regex
+from pyspark.sql import functions as F
 
 from vectide.llm import spots
 
@@ -83,3 +84,28 @@ def test_near_duplicates_against_all_pairs(spark):
     want = {(min(a, b), max(a, b)): jaccard(s, t) for s, a in sets.items() for t, b in sets.items() if a < b and jaccard(s, t) >= 0.6}
     got = {(r.a, r.b): r.likeness for r in spots.near_duplicates(df, threshold=0.6).collect()}
     assert got == pytest.approx(want)
+    old, spots.GROUP_CLASSES = spots.GROUP_CLASSES, 2
+    try:
+        assert {(r.a, r.b): r.likeness for r in spots.near_duplicates(df, threshold=0.6).collect()} == got
+    finally:
+        spots.GROUP_CLASSES = old
+
+
+def test_far_apart_and_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(spots, "BUCKET_ROWS", 8)
+    monkeypatch.setattr(spots, "MOST_ROWS", 1)
+    monkeypatch.setattr(spots, "GROUP_CLASSES", 3)
+    ids = [*range(100), 10**18, -(10**18), (1 << 63) - 1, -(1 << 63), *(2**k + 1000 for k in range(60))]
+    rows = [(i, f"the text number {i} says it") for i in ids]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    placed = spots._bucketed(df.select(F.col("doc_id").alias("key"), F.xxhash64("text").alias("tie")))
+    sizes = [r["count"] for r in placed.groupBy("bucket").count().collect()]
+    assert sum(sizes) == len(ids) and max(sizes) <= 8
+    got = {r.doc_id: r.next_text for r in spots.with_next(df, ["text"]).collect()}
+    order = sorted(rows, reverse=True)
+    assert got == {i: order[(k + 1) % len(order)][1] for k, (i, _) in enumerate(order)}
+    hot = spark.createDataFrame([(7, f"text {k}") for k in range(200)] + [(None, f"lost {k}") for k in range(100)] + [(8, "x")], "doc_id long, text string")
+    placed = spots._bucketed(hot.select(F.coalesce("doc_id", F.lit(0).cast("long")).alias("key"), F.xxhash64("text").alias("tie")))
+    assert max(r["count"] for r in placed.groupBy("bucket").count().collect()) <= 8
+    got = [(r.text, r.next_text) for r in spots.with_next(hot, ["text"]).collect()]
+    assert len(got) == 301 and sorted(a for a, _ in got) == sorted(b for _, b in got)

@@ -37,6 +37,10 @@ MARK, STOP = "\u0001", "\u0002"
 LEVELS = 20
 #: Rows of a bucket when documents are put in order; the ordering is by bucket, not in one partition.
 BUCKET_ROWS = 2_048
+#: A range is cut anew if it holds so many times as many.
+MOST_ROWS = 4
+#: Classes of one signature that meet in one task.
+GROUP_CLASSES = 1_024
 BROADCAST_HEADS = 100_000
 
 
@@ -73,27 +77,65 @@ def length_partition(size: Column, threshold: float) -> Column:
     return F.when(size > 0, F.floor(F.log(size.cast("double")) / math.log(1 / threshold) + 1e-9).cast("int")).otherwise(F.lit(-1))
 
 
+def _offset(value: Column, lo: Column, hi: Column) -> Column:
+    """value - lo as double, exact where the range allows it; never falls with value."""
+    near = F.shiftright(hi, 1) - F.shiftright(lo, 1) < (1 << 61)
+    return F.when(near, (value - lo).cast("double")).otherwise(value.cast("double") - lo.cast("double"))
+
+
+def _bucketed(rows: DataFrame) -> DataFrame:
+    """rows: key, tie (long). Adds bucket: paths of ranges of keys, of about BUCKET_ROWS rows however the keys lie.
+
+    Ranges of equal width first; a range that holds too many rows is cut anew within its own bounds, as often as needed, and one
+    of a single key is cut by tie. Only rows equal in both can make a larger bucket.
+    """
+    stats = lambda df: df.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"), F.min("tie").alias("tie_lo"), F.max("tie").alias("tie_hi"))
+    cut = F.floor(_offset(F.col("at"), F.col("from"), F.col("to")) / F.col("step")).cast("long")
+    of_key = F.col("lo") < F.col("hi")
+
+    def cells(found: DataFrame) -> DataFrame:
+        lo, hi = F.when(of_key, F.col("lo")).otherwise(F.col("tie_lo")), F.when(of_key, F.col("hi")).otherwise(F.col("tie_hi"))
+        wide = found.withColumn("from", lo).withColumn("to", hi).withColumn("by_key", of_key)
+        step = (_offset(F.col("to"), F.col("from"), F.col("to")) + 1) / F.greatest(F.lit(2.0), F.floor(F.col("n") / BUCKET_ROWS).cast("double"))
+        return wide.select(F.col("bucket").alias("cell"), "from", "to", "by_key", step.alias("step"))
+
+    narrow, levels = rows.select("key", "tie").withColumn("bucket", F.array().cast("array<bigint>")), []
+    apply = lambda df, over: df.join(over, F.col("bucket") == F.col("cell"), "left").withColumn("at", F.when(F.col("by_key"), F.col("key")).otherwise(F.col("tie"))).withColumn("bucket", F.when(F.col("cell").isNotNull(), F.concat("bucket", F.array(cut))).otherwise(F.col("bucket"))).drop("cell", "from", "to", "by_key", "step", "at")
+    while True:
+        over = stats(narrow).filter((F.col("n") > MOST_ROWS * BUCKET_ROWS) & (of_key | (F.col("tie_lo") < F.col("tie_hi"))))
+        over = saved(cells(over))
+        n = over.count()
+        if not n:
+            break
+        levels.append(F.broadcast(over) if n <= BROADCAST_HEADS else over)
+        narrow = apply(narrow, levels[-1])
+    rows = rows.withColumn("bucket", F.array().cast("array<bigint>"))
+    for over in levels:
+        rows = apply(rows, over)
+    return rows
+
+
 def with_next(rows: DataFrame, carry: list[str]) -> DataFrame:
-    """rows: doc_id (long), text, columns carry. Adds next_<column> of the next row by descending doc_id; after the last comes the first.
+    """rows: doc_id (long), text, columns carry. Adds next_<column> of the next row by descending doc_id, then a hash of the text; after the last comes the first.
 
     Ids are cut into ranges of about BUCKET_ROWS rows; the first row of each range is also sent, as a
     guest, to the end of the range before it. Only the ranges' first ids are ordered in one place.
     """
-    lo, hi, n = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
-    lo, hi = (lo if lo is not None else 0), (hi if hi is not None else 0)
-    step = max(1, -(-(hi - lo + 2) // max(1, n // BUCKET_ROWS)))
-    key = F.coalesce(F.col("doc_id"), F.lit(lo - 1).cast("long"))  # rows without id come last
-    rows = rows.withColumn("key", key).withColumn("bucket", F.floor((F.col("key") - F.lit(lo - 1)) / F.lit(float(step))).cast("long"))
-    heads = saved(rows.groupBy("bucket").agg(F.max("key").alias("head")))
-    order = Window.orderBy(F.col("bucket").desc())
-    first, last = (F.last("bucket").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.lag("bucket").over(order))
-    heads = saved(heads.select("head", F.coalesce(last, first).alias("host")))
-    small = n // BUCKET_ROWS <= BROADCAST_HEADS
-    rows = rows.join(F.broadcast(heads) if small else heads, F.col("key") == F.col("head"), "left")
+    least = rows.agg(F.min("doc_id")).first()[0]
+    least = 0 if least is None else max(least, -(1 << 63) + 1)
+    # rows without id come last
+    rows = rows.withColumn("key", F.coalesce(F.col("doc_id"), F.lit(least - 1).cast("long"))).withColumn("tie", F.xxhash64("text"))
+    rows = _bucketed(rows)
+    heads = saved(rows.groupBy("bucket").agg(F.max(F.struct("key", "tie")).alias("head")))
+    order = Window.orderBy(F.col("head").desc())
+    last, before = F.last("bucket").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.lag("bucket").over(order)
+    heads = saved(heads.select(F.col("head.key").alias("head_key"), F.col("head.tie").alias("head_tie"), F.coalesce(before, last).alias("host")))
+    small = heads.count() <= BROADCAST_HEADS
+    rows = rows.join(F.broadcast(heads) if small else heads, (F.col("key") == F.col("head_key")) & (F.col("tie") == F.col("head_tie")), "left")
     places = F.filter(F.array(F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("guest")), F.struct(F.col("host").alias("bucket"), F.lit(True).alias("guest"))), lambda x: x["bucket"].isNotNull())
-    rows = rows.withColumn("at", F.explode(places)).drop("bucket", "head", "host").select("*", "at.bucket", "at.guest").drop("at")
-    w = Window.partitionBy("bucket").orderBy("guest", F.col("key").desc(), "text")
-    return rows.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in carry]).filter("not guest").drop("guest", "key", "bucket")
+    rows = rows.withColumn("at", F.explode(places)).drop("bucket", "head_key", "head_tie", "host").select("*", "at.bucket", "at.guest").drop("at")
+    w = Window.partitionBy("bucket").orderBy("guest", F.col("key").desc(), F.col("tie").desc(), "text")
+    return rows.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in carry]).filter("not guest").drop("guest", "key", "tie", "bucket")
 
 
 def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -123,10 +165,15 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "d
     need = F.greatest(F.lit(0), F.col("n") - least(F.col("n")) + 1 - (F.col("n") - F.size("shared"))).cast("int")
     part = length_partition(F.col("n"), threshold)
     index = saved(ranked.withColumn("prefix", F.slice("shared", 1, need)).select("id", "n", part.alias("part"), F.explode("prefix.sig").alias("sig")))
-    probe = index.select(F.col("id").alias("b"), F.col("n").alias("m"), F.explode(F.sequence(F.col("part"), F.col("part") + 1)).alias("part"), "sig")
-    index = index.withColumnRenamed("id", "a")
+    # a signature that many classes have is dealt over tasks for pairs of its chunks
+    chunks = index.groupBy("part", "sig").agg(F.ceil(F.count(F.lit(1)) / GROUP_CLASSES).cast("int").alias("chunks"))
+    index = index.withColumn("own", F.xxhash64("id"))
+    probe = index.select(F.col("id").alias("b"), F.col("n").alias("m"), F.explode(F.sequence(F.col("part"), F.col("part") + 1)).alias("part"), "sig", "own").join(chunks, ["part", "sig"])
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    index = index.withColumnRenamed("id", "a").join(chunks, ["part", "sig"]).withColumn("i", F.pmod("own", F.col("chunks")).cast("int")).withColumn("j", every(F.col("chunks"))).drop("own", "chunks")
+    probe = probe.withColumn("j", F.pmod("own", F.col("chunks")).cast("int")).withColumn("i", every(F.col("chunks"))).drop("own", "chunks")
     bound = (F.least("n", "m") >= F.lit(threshold) * F.greatest("n", "m") - 1e-9) & ((F.col("n") > F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("a") < F.col("b"))))
-    pairs = index.join(probe, ["part", "sig"]).filter(bound).select("a", "b").distinct()
+    pairs = index.join(probe, ["part", "sig", "i", "j"]).filter(bound).select("a", "b").distinct()
     left, right = classes.select(F.col("id").alias("a"), F.col("sigs").alias("x")), classes.select(F.col("id").alias("b"), F.col("sigs").alias("y"))
     near = pairs.join(left, "a").join(right, "b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), likeness(F.col("x"), F.col("y")).alias("likeness"))
     return near.filter(F.col("likeness") >= threshold - 1e-12)
