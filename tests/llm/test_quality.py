@@ -1,5 +1,8 @@
+import zlib
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from vectide.llm import quality
 
@@ -47,3 +50,33 @@ def test_odd_tables(spark):
     assert quality.quality_scores(docs, some).count() == 5
     assert quality.quality_scores(docs.limit(0), some).count() == 0
     assert quality.of_good_quality(docs, none).columns == docs.columns
+
+
+def test_weights_against_plain_ridge(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(5)
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model, _ = quality.learn(docs, labels)
+    texts = {r.doc_id: np.array(quality.statistics(r.text or ""), np.float32).astype(float) for r in docs.collect()}
+    every = np.array(list(texts.values()))
+    mean, scale = every.mean(0), every.std(0)
+    scale[scale < 1e-9] = 1
+    assert model.mean == pytest.approx(mean) and model.scale == pytest.approx(scale)
+    kept = [r for r in labels.collect() if r.quality is not None and zlib.crc32(str(r.doc_id).encode()) % 5 and r.doc_id in texts]
+    x, y = np.array([texts[r.doc_id] for r in kept]), np.array([r.quality for r in kept], float)
+    rng = np.random.default_rng(quality.SEED)
+    w, b = rng.normal(size=(x.shape[1], quality.FEATURES)) / np.sqrt(x.shape[1]), rng.uniform(0, 2 * np.pi, quality.FEATURES)
+    z = np.hstack([np.sqrt(2 / quality.FEATURES) * np.cos(np.clip((x - mean) / scale, -8, 8) @ w + b), np.ones((len(x), 1))])
+    penalty = np.diag([quality.RIDGE * len(x)] * quality.FEATURES + [1e-9 * len(x)])
+    # the same least squares, solved as one stacked system
+    want = np.linalg.lstsq(np.vstack([z, np.sqrt(penalty)]), np.concatenate([y, np.zeros(len(penalty))]), rcond=None)[0]
+    assert model.weights == pytest.approx(want, rel=1e-5, abs=1e-6)
+    assert model.raw(x) == pytest.approx(z @ want, abs=1e-6)
+
+
+def test_stage_keeps_rows_and_agrees_with_the_query(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("quality_stats", F.lit(1))
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    kept = quality.of_good_quality(docs, labels)
+    assert kept.columns == docs.columns
+    good = quality.quality_scores(docs, labels).filter("predicted = 1").select("doc_id")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in good.collect())

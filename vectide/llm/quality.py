@@ -26,8 +26,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import arrow_udf
 
-from vectide.llm.common import ident, saved, tidy
+from vectide.llm.common import free_name, ident, saved, tidy
 
 FEATURES = 256
 RIDGE = 1e-3
@@ -99,21 +101,17 @@ def fourier(x: np.ndarray) -> np.ndarray:
     return np.hstack([np.sqrt(2 / FEATURES) * np.cos(np.clip(x, -8, 8) @ w + b), np.ones((len(x), 1))])
 
 
-def with_statistics(docs: DataFrame) -> DataFrame:
-    """docs: doc_id, text (not null). Returns doc_id, stats."""
-    kind = dict(docs.dtypes)["doc_id"]
+@arrow_udf(T.ArrayType(T.FloatType()))
+def text_statistics(texts: pa.Array) -> pa.Array:
+    """The statistics of each text; a null text counts as empty."""
+    from vectide.llm.quality import statistics as own
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from vectide.llm.quality import statistics as own
-
-        for b in batches:
-            for k in range(0, b.num_rows, 512):
-                part = b.slice(k, 512)
-                stats = pa.array([own(t) for t in part.column("text").to_pylist()], pa.list_(pa.float32()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), stats], ["doc_id", "stats"])
-        tidy()
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, stats array<float>")
+    offsets, values = np.arange(len(texts) + 1, dtype=np.int32) * STATISTICS, np.empty((len(texts), STATISTICS), np.float32)
+    for k in range(0, len(texts), 512):
+        part = texts.slice(k, 512)
+        values[k : k + len(part)] = [own(t or "") for t in part.to_pylist()]
+    tidy()
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.ravel()))
 
 
 def _matrix(column) -> np.ndarray:
@@ -183,17 +181,15 @@ def isotonic(bins: list[tuple[float, int, int]]) -> tuple[np.ndarray, np.ndarray
     return np.array([p[0] / p[1] for p in pools]), np.array([p[2] / p[1] for p in pools])
 
 
-def scored(stats: DataFrame, model: Model) -> DataFrame:
-    """stats: doc_id, stats. Returns doc_id, score."""
-    kind = dict(stats.dtypes)["doc_id"]
+def score_of(model: Model):  # noqa: ANN201
+    """A function of a statistics column."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(0, b.num_rows, 2048):
-                part = b.slice(k, 2048)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(model.score(_matrix(part.column("stats"))), pa.float64())], ["doc_id", "score"])
+    @arrow_udf(T.DoubleType())
+    def score(stats: pa.Array) -> pa.Array:
+        parts = [model.score(_matrix(stats.slice(k, 2048))) for k in range(0, len(stats), 2048)]
+        return pa.array(np.concatenate(parts) if parts else np.empty(0), pa.float64())
 
-    return stats.select("doc_id", "stats").mapInArrow(run, f"doc_id {kind}, score double")
+    return score
 
 
 def held_out(doc_id: Column) -> Column:
@@ -201,33 +197,25 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> tuple[Model, DataFrame]:
-    """The model, and the saved statistics (doc_id, stats) of every row of docs."""
-    narrow = docs.select(F.col(ident(id_col)).alias("doc_id"), F.coalesce(F.col(ident(text_col)), F.lit("")).alias("text"))
-    stats = saved(with_statistics(narrow))
+def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", stats_col: str = "stats", keep: bool = False) -> tuple[Model, DataFrame]:
+    """The model, and saved rows of docs with their statistics: doc_id and stats_col, or all columns and stats_col if keep."""
+    stats = text_statistics(F.col(ident(text_col))).alias(stats_col)
+    rows = saved(docs.select("*", stats) if keep else docs.select(F.col(ident(id_col)).alias("doc_id"), stats))
+    each = rows.select(F.col(ident(id_col) if keep else "doc_id").alias("doc_id"), F.col(ident(stats_col)).alias("stats"))
     told = labels.select(F.col(ident(id_col)).alias("of"), F.col(ident(label_col)).cast("int").alias("label")).filter("label in (0, 1)")
-    labelled = stats.filter(~held_out(F.col("doc_id"))).join(told, F.col("doc_id") == F.col("of"))
-    return fit(stats, saved(labelled.select("stats", "label"))), stats
+    labelled = each.filter(~held_out(F.col("doc_id"))).join(told, F.col("doc_id") == F.col("of"))
+    return fit(each, saved(labelled.select("stats", "label"))), rows
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, **columns) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score, predicted."""
-    model, stats = learn(docs, labels, **columns)
-    return scored(stats, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    model, rows = learn(docs, labels, **columns)
+    scored = rows.select("doc_id", score_of(model)(F.col("stats")).alias("score"))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
-def of_good_quality(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", threshold: float = THRESHOLD, **columns) -> DataFrame:
-    """The rows of docs that score at least threshold, with docs' columns; texts aren't shuffled."""
-    model, _ = learn(docs, labels, text_col=text_col, **columns)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from vectide.llm.quality import statistics as own
-
-        for b in batches:
-            for k in range(0, b.num_rows, 512):
-                part = b.slice(k, 512)
-                x = np.array([own(t or "") for t in part.column(text_col).to_pylist()], np.float32)
-                yield part.filter(pa.array(model.score(x.astype(np.float64)) >= threshold))
-        tidy()
-
-    return docs.mapInArrow(run, docs.schema)
+def of_good_quality(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, **columns) -> DataFrame:
+    """The rows of docs that score at least threshold, with docs' columns. Texts are read once and not shuffled; only statistics go to the scoring worker."""
+    at = free_name(docs, "quality_stats")
+    model, rows = learn(docs, labels, stats_col=at, keep=True, **columns)
+    return rows.filter(score_of(model)(F.col(at)) >= threshold).drop(at)
