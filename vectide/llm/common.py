@@ -9,6 +9,7 @@ import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,9 +37,41 @@ def saved(df: DataFrame) -> DataFrame:
     """The same rows read from a Parquet table in the shared folder: later reads neither repeat the work nor need lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/vectide-{uuid.uuid4().hex}"
+    if _recorded is not None:
+        _recorded.append(path)
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Remove the table behind a DataFrame that came from saved; others stay."""
+    if path := getattr(df, "_saved_at", None):
+        _remove(df.sparkSession, path)
+
+
+_recorded: list[str] | None = None
+_left: list[str] = []
+
+
+@contextlib.contextmanager
+def step(docs: DataFrame) -> Iterator[None]:
+    """One stage of a pipeline whose result is written before the next stage begins: what its body saves for itself
+    is removed when the next stage begins, unless that stage's docs still read it."""
+    global _recorded
+    if _left:
+        read = {part for f in docs.inputFiles() for part in f.split("/")}
+        for path in [p for p in _left if p.rsplit("/", 1)[1] not in read]:
+            _remove(docs.sparkSession, path)
+            _left.remove(path)
+    _recorded = []
+    try:
+        yield
+    finally:
+        _left.extend(_recorded)
+        _recorded = None
 
 
 def _remove(spark: SparkSession, path: str) -> None:
