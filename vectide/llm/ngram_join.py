@@ -348,8 +348,9 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     keyed = docs.withColumn(one, F.xxhash64(*key)).withColumn(two, F.xxhash64(F.lit(2), *reversed(key)))
     rows = keyed.select(F.col(ident(id_col)).alias("doc_id"), F.coalesce(F.col(ident(text_col)), F.lit("")).alias("text"), F.col(one).alias("k1"), F.col(two).alias("k2"))
     sizes, classes = _joined(rows, words, percent, CLUSTER_TOKENS)
-    grouped = sizes.join(classes.select(F.col("cls").alias("of"), "root"), F.col("cls") == F.col("of"), "left")
-    first = grouped.filter("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "k1", "k2")).alias("x"))
+    # the least of each class first, so that a class of many copies meets in no task
+    least = sizes.filter("cls is not null").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "k1", "k2")).alias("x"))
+    first = least.join(classes.select(F.col("cls").alias("of"), "root"), F.col("cls") == F.col("of")).groupBy("root").agg(F.min("x").alias("x"))
     kept = first.select("x.k1", "x.k2").unionByName(sizes.filter("cls is null").select("k1", "k2"))
     kept = saved(kept.select(F.col("k1").alias("kept_one"), F.col("k2").alias("kept_two")))
     repeated = sizes.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
