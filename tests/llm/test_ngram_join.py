@@ -106,3 +106,18 @@ def test_deduplicated_keeps_one_of_each_component(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     want = sorted({c for i, n, c in brute(rows, 5, 80) if n} | {i for i, n, c in brute(rows, 5, 80) if not n})
     assert sorted(r.doc_id for r in nj.deduplicated(df).collect()) == want
+
+
+def test_cluster_above_a_share_of_the_work(spark, monkeypatch):
+    monkeypatch.setattr(nj, "SHARE_TOKENS", 200)
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(200):
+        w = list(base)
+        for _ in range(rng.randint(0, 2)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(40)}"
+        rows.append((i, " ".join(w)))
+    rows += [(200 + i, " ".join(f"y{i // 2}-{k}" for k in range(30 + i % 2))) for i in range(40)]
+    got = nj.ngram_components(spark.createDataFrame(rows, "doc_id long, text string"), words=3, percent=90)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute(rows, 3, 90)

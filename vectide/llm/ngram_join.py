@@ -13,8 +13,8 @@ A pair is verified only if the prefixes meet under every order.
    verification needs. A class with p or more tokens of its own can't link and ends here.
 3. Classes that meet in the frequency prefix form candidate clusters (connected components).
    Each cluster is joined exactly in one task by all three prefix indexes; a cluster over
-   ``cluster_tokens`` is cut into blocks, so no task holds an unbounded group: each block is joined with
-   itself and the first, then all sets outside of the largest component with all blocks. A task gives a
+   ``cluster_tokens``, or over a sixteenth of all, is cut into blocks, so no task holds an unbounded group
+   or most of the work: each block is joined with itself and the first, then all sets outside of the largest component with all blocks. A task gives a
    spanning forest of the links it found, as components need no more: pairs already connected aren't
    verified again.
 4. Components over the links, then the least doc_id of each.
@@ -44,6 +44,9 @@ BATCH_TOKENS = 1_000_000
 BATCH_CLASSES = 60_000
 BUCKET_TOKENS = 1_000_000
 CLUSTER_TOKENS = 2_000_000
+#: Clusters are dealt over so many tasks at least; one above a task's share, and above SHARE_TOKENS, is cut like one above CLUSTER_TOKENS.
+BINS = 16
+SHARE_TOKENS = 50_000
 #: Seeds of the hash orders.
 ORDERS = (11, 23)
 
@@ -272,9 +275,12 @@ def class_links(docs: DataFrame, total: int, words: int, percent: int, cluster_t
     roots = components(edges)
     member = found.select("cls", (F.octet_length("tokens") / 8).alias("size")).groupBy("cls").agg(F.first("size").alias("size"))
     weight = roots.join(member, F.col("node") == F.col("cls")).groupBy("root").agg(F.sum("size").alias("size"))
-    weight = saved(weight.withColumn("blocks", F.when(F.col("size") <= cluster_tokens, 1).otherwise(2 * F.ceil(F.col("size") / cluster_tokens)).cast("int")))
+    weight = saved(weight)
     free_shuffles(spark)
-    bins = max(16, math.ceil((weight.agg(F.sum("size")).first()[0] or 0) / cluster_tokens))
+    size = weight.agg(F.sum("size")).first()[0] or 0
+    limit = min(cluster_tokens, max(SHARE_TOKENS, math.ceil(size / BINS)))
+    bins = max(BINS, math.ceil(size / limit))
+    weight = weight.withColumn("blocks", F.when(F.col("size") <= limit, 1).otherwise(2 * F.ceil(F.col("size") / limit)).cast("int"))
     where = roots.join(weight, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # A cluster of one block shares a task with others of its bin. Of a larger one, each block is joined with itself
     # and with the first block; what that leaves unconnected is joined with all blocks below.
