@@ -97,3 +97,14 @@ def test_deep_trees_are_dealt_anew(spark):
 def test_clashing_names(spark):
     df = spark.createDataFrame([(1, "a b", "s", 9, 8), (2, "c", "t", 7, 6)], "doc_id long, text string, source string, mix_epoch int, mix_shard int")
     assert mixing.mix(df).columns == [*df.columns, "_mix_epoch", "_mix_shard"]
+
+
+def test_a_long_document_left_out_goes_in_for_a_shorter_one(spark):
+    sizes = [900, 10, 20, 30, 40, 450, 480, 500, 70]
+    rows = [(k, "w " * n, "a") for k, n in enumerate(sizes)] + [(k, "w " * n, "a") for k, n in enumerate(sizes)] + [(99, "w " * 3200, "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix_plan(df, keep=False, weights=(3, 5)).select("row.doc_id", "size", "source_size", "target", F.size("draws").alias("n")).collect()
+    mine = [r for r in got if r.source_size == 2 * sum(sizes)]
+    assert len(mine) == len(rows) - 1 and all(r.n <= 1 for r in mine)
+    gap = mine[0].target - sum(r.size * r.n for r in mine)
+    assert -1e-6 <= gap <= 30

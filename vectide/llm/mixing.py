@@ -5,7 +5,8 @@
    above is shared again by weight (solved in one step as a water level).
 2. A keyed hash deals each source's documents into blocks. A target of r times the source takes
    every block floor(r) times and goes through the blocks once more in permuted order, until the
-   target is met; in the block where that happens, shorter documents fill what the first too long one leaves.
+   target is met; in the block where that happens, shorter documents fill what the first too long one leaves,
+   then the shortest one left out replaces a document if that comes nearer to the target.
 3. A binary tree over the output shards splits the exact numbers of block draws: at each node the
    left half's number is drawn from the multivariate hypergeometric distribution, source by source.
    A leaf's numbers are disjoint runs of each source's permuted draws.
@@ -31,6 +32,8 @@ DOCS_PER_BLOCK = 512
 WORDS_PER_SHARD = 8_000_000
 #: Further passes over the block in which a target is met.
 REFINE = 4
+#: Exchanges of one document for another in that block after those passes.
+SWAPS = 2
 #: Levels of the tree after which its nodes are dealt anew; the nodes of a level are independent.
 SPREAD_LEVELS = 6
 #: A table of sources is broadcast up to so many rows (under 2 MB); beyond it Spark joins it by shuffle.
@@ -143,7 +146,9 @@ def _fitted(rows: DataFrame) -> DataFrame:
     """Adds fits: whether the last, partial pass takes the row. left: the words that its block may still give (null: none).
 
     In key order rows are taken up to the first that is too long for what is left; then, ``REFINE`` times, of
-    the rows not taken those short enough for the gap, longest first, again up to its end.
+    the rows not taken those short enough for the gap, longest first, again up to its end. A gap may stay that is
+    shorter than all rows left out: ``SWAPS`` times the shortest of those goes in for the shortest row
+    that makes room for it.
     """
     block = Window.partitionBy("sid", "block")
     by_key, by_size = (block.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow) for order in (["key", "size"], [F.col("size").desc(), "key"]))
@@ -154,7 +159,15 @@ def _fitted(rows: DataFrame) -> DataFrame:
         rows = rows.withColumn("more", F.col("able") & (F.col("sum") <= F.col("gap")))
         rows = rows.withColumn("gap", F.col("gap") - F.coalesce(F.max(F.when(F.col("more"), F.col("sum"))).over(block), F.lit(0)))
         rows = rows.withColumn("fits", F.col("fits") | F.col("more"))
-    return rows.drop("gap", "able", "sum", "more")
+    rows = rows.withColumn("place", F.struct("size", F.row_number().over(block.orderBy("size", "key")).alias("nth")))
+    for _ in range(SWAPS):
+        rows = rows.withColumn("come", F.min(F.when(~F.col("fits") & (F.col("gap") >= 0), F.col("place"))).over(block))
+        room = F.col("fits") & (F.col("size") >= F.col("come.size") - F.col("gap")) & (F.col("size") < F.col("come.size")) & (F.col("come.size") > F.col("gap"))
+        rows = rows.withColumn("go", F.min(F.when(room, F.col("place"))).over(block))
+        swapped = F.col("go").isNotNull()
+        rows = rows.withColumn("gap", F.when(swapped, F.col("gap") - F.col("come.size") + F.col("go.size")).otherwise(F.col("gap")))
+        rows = rows.withColumn("fits", F.when(swapped & (F.col("place") == F.col("come")), True).when(swapped & (F.col("place") == F.col("go")), False).otherwise(F.col("fits")))
+    return rows.drop("gap", "able", "sum", "more", "place", "come", "go")
 
 
 def mix(docs: DataFrame, *, seed: int = 7, **options) -> DataFrame:
