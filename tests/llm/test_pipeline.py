@@ -1,8 +1,24 @@
+from collections import Counter
+
 import corpus_pipeline
+from test_mixing import WORD, plain_targets
+from test_ngram_join import brute
+from test_secrets import base, entropy
 from vectide.llm import pieces, secrets
 from pyspark.sql import functions as F
 
 
+def plain_redacted(text):
+    """Each group of overlapping spans replaced once."""
+    spans = base(text)
+    out, reach = "", 0
+    for start, _, end, _ in sorted(spans + entropy(text, spans)):
+        if start >= reach:
+            out += text[reach:start] + secrets.REPLACEMENT
+        reach = max(reach, end)
+    return out + text[reach:]
+
+
 def test_stages_and_run(spark):
     d = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{d}/documents.parquet")
@@ -29,6 +45,25 @@ def test_stages_and_run(spark):
     assert len(rows) == after["mix"].count()
     assert all(codec.decode(r.piece_ids) == texts[r.doc_id] and r.n_pieces == len(r.piece_ids) for r in rows)
     assert corpus_pipeline.run(spark, d).count() == len(rows)
+    # each stage's rows against a plain version of it on the same input
+    into = {name: [(r.doc_id, r.text) for r in after[name].collect()] for name in ("quality", "near_duplicates", "secrets")}
+    parts = brute(into["quality"], 5, 80)
+    assert sorted(i for i, _ in into["near_duplicates"]) == sorted({c for _, n, c in parts if n} | {i for i, n, _ in parts if not n})
+    assert set(into["near_duplicates"]) <= set(into["quality"])
+    assert sorted(into["secrets"]) == sorted((i, plain_redacted(t)) for i, t in into["near_duplicates"])
+    source = {r.doc_id: r.source for r in after["secrets"].collect()}
+    size = {i: len(WORD.findall(t)) for i, t in into["secrets"]}
+    texts_in = dict(into["secrets"])
+    words, taken, times = Counter(), Counter(), Counter()
+    for i, n in size.items():
+        words[source[i]] += n
+    for r in after["mix"].collect():
+        assert r.text == texts_in[r.doc_id] and r.source == source[r.doc_id]
+        taken[r.source] += size[r.doc_id]
+        times[r.doc_id] += 1
+    assert max(times.values()) <= 3
+    for s, want in plain_targets(dict(words)).items():
+        assert -1 <= want - taken[s] <= max(100, want / 50)
 
 
 def test_odd_and_empty_tables(spark, tmp_path):
