@@ -108,3 +108,9 @@ def test_a_long_document_left_out_goes_in_for_a_shorter_one(spark):
     assert len(mine) == len(rows) - 1 and all(r.n <= 1 for r in mine)
     gap = mine[0].target - sum(r.size * r.n for r in mine)
     assert -1e-6 <= gap <= 30
+
+
+def test_exchange_narrows_the_gap(spark):
+    rows = [(1, 0, k, n, 1000.0) for k, n in enumerate([300, 290, 200, 310])] + [(2, 0, k, n, None) for k, n in enumerate([5, 6])]
+    got = mixing._fitted(spark.createDataFrame(rows, "sid int, block long, key long, size long, left double")).collect()
+    assert sorted(r.size for r in got if r.sid == 1 and r.fits) == [290, 300, 310] and not any(r.fits for r in got if r.sid == 2)
