@@ -121,3 +121,47 @@ def test_cluster_above_a_share_of_the_work(spark, monkeypatch):
     rows += [(200 + i, " ".join(f"y{i // 2}-{k}" for k in range(30 + i % 2))) for i in range(40)]
     got = nj.ngram_components(spark.createDataFrame(rows, "doc_id long, text string"), words=3, percent=90)
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute(rows, 3, 90)
+
+
+@pytest.mark.parametrize("seed,k,percent", [(1, 3, 90), (6, 5, 80), (4, 1, 60)])
+def test_frequent_tokens_stay_in_their_batch(spark, monkeypatch, seed, k, percent):
+    monkeypatch.setattr(nj, "OFTEN", 4)
+    monkeypatch.setattr(nj, "HOT_POSTINGS", 12)
+    monkeypatch.setattr(nj, "HOT_TOKENS", 10**9)
+    rows = corpus(seed)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sizes = nj.set_sizes(df, k).cache()
+    total = sizes.agg({"n": "sum"}).first()[0]
+    hot, rank = nj.frequent(sizes, total, 6)
+    count = {}
+    for s in {plain_set(t, k) for _, t in rows}:
+        for t in s:
+            count[t] = count.get(t, 0) + 1
+    assert len(hot) == len(rank) and sum(c >= 60 for c in count.values()) <= len(hot) <= sum(c >= 4 for c in count.values())
+    assert len(hot) > 0
+    packed = nj._pack(df, k, 6, hot).collect()
+    assert not any(np.isin((np.uint64(r.key) << np.uint64(48)) | nj._values(r.tokens), hot).any() for r in packed if r.key >= 0)
+    assert sum(len(r.owner) for r in packed if r.key < 0 and r["rank"] is not None) > 0
+    assert sorted(tuple(r) for r in nj.ngram_components(df, words=k, percent=percent).collect()) == brute(rows, k, percent)
+
+
+def test_only_frequent_tokens(spark, monkeypatch):
+    monkeypatch.setattr(nj, "OFTEN", 2)
+    monkeypatch.setattr(nj, "HOT_POSTINGS", 2)
+    monkeypatch.setattr(nj, "HOT_TOKENS", 10**9)
+    base = [f"w{i}" for i in range(30)]
+    rows = [(i, " ".join(base + [f"w{j}" for j in range(i % 4)])) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert sorted(tuple(r) for r in nj.ngram_components(df, words=3, percent=90).collect()) == brute(rows, 3, 90)
+
+
+def test_tally():
+    tally = nj._Tally(3)
+    a = np.array([1, 2, 3, 2**63 + 5], np.uint64)
+    for k in range(3):
+        tally.add(bytes([k]), np.append(a, np.uint64(2**63 + 10 + k)))
+    tally.add(bytes([2]), a)
+    assert tally.held == 15
+    assert sorted(tally.report()) == sorted((int(x), 3) for x in a.view(np.int64)) and tally.held == 0
+    tally.add(b"x", a)
+    assert tally.report() is None and tally.report() is None

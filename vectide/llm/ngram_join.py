@@ -11,6 +11,9 @@ A pair is verified only if the prefixes meet under every order.
    and cut by hash range, to 2^b buckets; a bucket counts how many hold each token and returns those
    of two or more to their batch. Only these can be shared, so what a class gets back is all that
    verification needs. A class with p or more tokens of its own can't link and ends here.
+   Very frequent tokens are found in the first pass (each ``BATCH_TOKENS`` tokens report those that
+   ``OFTEN`` sets or more hold) and never leave their batch, so a passage in a third of all texts meets in no
+   task. There are at most ``HOT_TOKENS`` of them, as each makes up that share of all tokens.
 3. Classes that meet in the frequency prefix form candidate clusters (connected components).
    Each cluster is joined exactly in one task by all three prefix indexes; a cluster over
    ``cluster_tokens``, or over a sixteenth of all, is cut into blocks, so no task holds an unbounded group
@@ -47,6 +50,10 @@ CLUSTER_TOKENS = 2_000_000
 #: Clusters are dealt over so many tasks at least; one above a task's share, and above SHARE_TOKENS, is cut like one above CLUSTER_TOKENS.
 BINS = 16
 SHARE_TOKENS = 50_000
+#: A token that so many sets of one batch hold is reported; from so many in all, and that share of all tokens, it is a frequent one.
+OFTEN = 32
+HOT_POSTINGS = 4096
+HOT_TOKENS = 100_000
 #: Seeds of the hash orders.
 ORDERS = (11, 23)
 
@@ -66,26 +73,90 @@ def _values(planes: bytes) -> np.ndarray:
     return np.cumsum(wide.view(np.uint64).ravel(), dtype=np.uint64)
 
 
+def _rank(held: np.ndarray) -> np.ndarray:
+    return np.minimum(255, 8 * np.log2(held)).astype(np.uint8)
+
+
+class _Tally:
+    """Tokens that many of the sets added since the last report hold; equal sets count once."""
+
+    def __init__(self, often: int):
+        self.often, self.seen, self.sets, self.held = often, set(), [], 0
+
+    def add(self, cls: bytes, tokens: np.ndarray) -> None:
+        if cls not in self.seen:
+            self.seen.add(cls)
+            self.sets.append(tokens)
+            self.held += len(tokens)
+
+    def report(self) -> list[tuple[int, int]] | None:
+        flat = np.sort(np.concatenate(self.sets)) if self.sets else np.empty(0, np.uint64)
+        self.seen.clear()
+        self.sets.clear()
+        self.held = 0
+        before = flat[: max(0, len(flat) - self.often + 1)]
+        token = np.unique(before[before == flat[self.often - 1 :]])
+        held = np.searchsorted(flat, token, "right") - np.searchsorted(flat, token, "left")
+        return list(zip(token.view(np.int64).tolist(), held.tolist(), strict=True)) or None
+
+
+_OFTEN = pa.list_(pa.struct([("token", pa.int64()), ("held", pa.int64())]))
+
+
 def set_sizes(docs: DataFrame, words: int) -> DataFrame:
-    """docs: text and other columns. Returns the others, n (set size), cls (digest; null for an empty set)."""
+    """docs: text and other columns. Returns the others, n (set size), cls (digest; null for an empty set), and often: in one
+    row for each BATCH_TOKENS tokens, those that many of these sets hold, and how many do."""
     kept = [c for c in docs.columns if c != "text"]
     kinds = ", ".join(f"{c} {k}" for c, k in docs.dtypes if c != "text")
+    often = OFTEN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = _Tally(often)
+        last = None  # held back, as its last row takes the last report
+
+        def batch() -> pa.RecordBatch:
+            others, n, cls, found = last
+            return pa.RecordBatch.from_arrays([*others, pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(found, _OFTEN)], [*kept, "n", "cls", "often"])
+
         for b in batches:
-            sets = [(len(s), set_digest(s) if len(s) else None) for s in shingle_sets(b.column("text"), words)]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array([x[0] for x in sets], pa.int64()), pa.array([x[1] for x in sets], pa.binary())], [*kept, "n", "cls"])
+            if not b.num_rows:
+                continue
+            if last:
+                yield batch()
+            n, cls, found = [], [], []
+            for s in shingle_sets(b.column("text"), words):
+                n.append(len(s))
+                cls.append(set_digest(s) if len(s) else None)
+                if len(s):
+                    tally.add(cls[-1], s)
+                found.append(tally.report() if tally.held >= BATCH_TOKENS else None)
+            last = [b.column(c) for c in kept], n, cls, found
+        if last:
+            if tally.held:
+                last[3][-1] = tally.report()
+            yield batch()
         tidy()
 
-    return docs.mapInArrow(run, f"{kinds}, n long, cls binary")
+    return docs.mapInArrow(run, f"{kinds}, n long, cls binary, often array<struct<token: long, held: long>>")
+
+
+def frequent(sizes: DataFrame, total: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent tokens in the form that buckets and batches use, ascending, and their ranks: HOT_TOKENS at most, as they make up 1 / HOT_TOKENS of total each."""
+    held = sizes.filter("often is not null").select(F.explode("often").alias("x")).groupBy("x.token").agg(F.sum("x.held").alias("held"))
+    rows = held.filter(F.col("held") >= max(HOT_POSTINGS, math.ceil(total / HOT_TOKENS))).toArrow()
+    token = rows.column("token").to_numpy().astype(np.int64).view(np.uint64) >> np.uint64(16 - bits)
+    order = np.argsort(token, kind="stable")
+    token, first = np.unique(token[order], return_index=True)
+    count = rows.column("held").to_numpy().astype(np.int64)[order]
+    return token, _rank(np.maximum.reduceat(count, first)) if len(first) else np.empty(0, np.uint8)
 
 
 _PACKED = pa.schema([("key", pa.int64()), ("batch", pa.int64()), ("tokens", pa.binary()), ("owner", pa.binary()), ("rank", pa.binary())])
 _PACKED_DDL = "key long, batch long, tokens binary, owner binary, rank binary"
 
 
-def _pack(docs: DataFrame, words: int, bits: int) -> DataFrame:
-    """Each batch's tokens by bucket (key >= 0), and its classes with their set sizes (key < 0)."""
+def _pack(docs: DataFrame, words: int, bits: int, hot: np.ndarray) -> DataFrame:
+    """Each batch's tokens by bucket (key >= 0), and its classes with their set sizes (key < 0); in a row beside those its frequent tokens, by their places in hot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes: dict[bytes, int] = {}
@@ -98,12 +169,16 @@ def _pack(docs: DataFrame, words: int, bits: int) -> DataFrame:
             sizes = np.array([len(s) for s in sets], np.int64)
             tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.uint16), sizes)
             order = np.argsort(tokens)
-            tokens, owner = tokens[order], owner[order]
-            bucket = (tokens >> np.uint64(64 - bits)).astype(np.int64)
-            low = (tokens >> np.uint64(16 - bits)) & np.uint64((1 << 48) - 1)
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
+            tokens, owner = tokens[order] >> np.uint64(16 - bits), owner[order]
             rows = [(-1 - batch, batch, b"".join(classes), sizes.tobytes(), None)]
-            rows += [(int(bucket[a]), batch, _planes(low[a:z]), owner[a:z].tobytes(), None) for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
+            if len(hot):
+                at = np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)
+                often = hot[at] == tokens
+                rows += [(-1 - batch, batch, at[often].astype(np.uint32).tobytes(), owner[often].tobytes(), b"")]
+                tokens, owner = tokens[~often], owner[~often]
+            bucket, low = (tokens >> np.uint64(48)).astype(np.int64), tokens & np.uint64((1 << 48) - 1)
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
+            rows += [(int(bucket[a]), batch, _planes(low[a:z]), owner[a:z].tobytes(), None) for a, z in zip(cuts[:-1], cuts[1:], strict=True) if z > a]
             classes.clear()
             sets.clear()
             return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _PACKED, strict=True)], schema=_PACKED)
@@ -149,7 +224,7 @@ def _count(group: pa.Table) -> pa.Table:
     tokens, source, owner = tokens[order], source[order], owner[order]
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(tokens)) + 1, [len(tokens)]])
     held = np.diff(cuts)
-    rank = np.repeat(np.minimum(255, 8 * np.log2(held)).astype(np.uint8), held)
+    rank = np.repeat(_rank(held), held)
     keep = np.repeat(held > 1, held)
     tokens, source, owner, rank = tokens[keep], source[keep], owner[keep], rank[keep]
     order = np.argsort(source, kind="stable")
@@ -162,18 +237,20 @@ def _count(group: pa.Table) -> pa.Table:
 _CANDIDATE = pa.schema([("cls", pa.binary()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64())), ("tokens", pa.binary())])
 
 
-def _gather(percent: int):
+def _gather(percent: int, hot: np.ndarray, hot_rank: np.ndarray):
     def run(group: pa.Table) -> pa.Table:
         """Of one batch: the classes that can link, with their shared tokens and what of the frequency prefix those make up."""
         rows = group.to_pylist()
-        names = next(r for r in rows if r["key"] < 0)
+        names = next(r for r in rows if r["rank"] is None)
+        own = [np.frombuffer(r["tokens"], np.uint32) for r in rows if r["key"] < 0 and r is not names]
+        frequent_owner = [np.frombuffer(r["owner"], np.uint16) for r in rows if r["key"] < 0 and r is not names]
         rows = [r for r in rows if r["key"] >= 0]
         sizes = np.frombuffer(names["owner"], np.int64)
-        if not rows:
+        if not rows and not sum(map(len, own)):
             return _CANDIDATE.empty_table()
-        tokens = np.concatenate([(np.uint64(r["key"]) << np.uint64(48)) | _values(r["tokens"]) for r in rows])
-        owner = np.concatenate([np.frombuffer(r["owner"], np.uint16) for r in rows]).astype(np.int64)
-        rank = np.concatenate([np.frombuffer(r["rank"], np.uint8) for r in rows])
+        tokens = np.concatenate([(np.uint64(r["key"]) << np.uint64(48)) | _values(r["tokens"]) for r in rows] + [hot[x] for x in own])
+        owner = np.concatenate([np.frombuffer(r["owner"], np.uint16) for r in rows] + frequent_owner).astype(np.int64)
+        rank = np.concatenate([np.frombuffer(r["rank"], np.uint8) for r in rows] + [hot_rank[x] for x in own])
         shared = np.bincount(owner, minlength=len(sizes))
         need = prefix_length(sizes, percent) - (sizes - shared)
         order = np.lexsort((tokens, rank, owner))
@@ -260,11 +337,12 @@ def _verify(percent: int):
     return run
 
 
-def class_links(docs: DataFrame, total: int, words: int, percent: int, cluster_tokens: int) -> DataFrame | None:
+def class_links(docs: DataFrame, sizes: DataFrame, total: int, words: int, percent: int, cluster_tokens: int) -> DataFrame | None:
     """Links (a, b) between classes, enough to connect all that are connected; None if there are no candidates."""
     spark = docs.sparkSession
     bits = min(16, max(6, math.ceil(math.log2(max(1, total) / BUCKET_TOKENS))))
-    found = saved(_pack(docs, words, bits).groupBy("key").applyInArrow(_tidied(_count), _PACKED_DDL).groupBy("batch").applyInArrow(_tidied(_gather(percent)), "cls binary, n long, prefix array<long>, tokens binary"))
+    hot, hot_rank = frequent(sizes, total, bits)
+    found = saved(_pack(docs, words, bits, hot).groupBy("key").applyInArrow(_tidied(_count), _PACKED_DDL).groupBy("batch").applyInArrow(_tidied(_gather(percent, hot, hot_rank)), "cls binary, n long, prefix array<long>, tokens binary"))
     free_shuffles(spark)
     postings = found.select("cls", F.explode("prefix").alias("token")).distinct()
     tokens = postings.groupBy("token").agg(F.min("cls").alias("first"), F.max("cls").alias("last")).filter("first <> last")
@@ -325,7 +403,7 @@ def _joined(rows: DataFrame, words: int, percent: int, cluster_tokens: int) -> t
     sizes = saved(set_sizes(rows, words))
     total = sizes.agg(F.sum("n")).first()[0] or 0
     least = sizes.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"))
-    links = class_links(rows, total, words, percent, cluster_tokens) if total else None
+    links = class_links(rows, sizes, total, words, percent, cluster_tokens) if total else None
     free_shuffles(spark)
     if links is None or links.isEmpty():
         return sizes, least.select("cls", F.col("cls").alias("root"), "least")
