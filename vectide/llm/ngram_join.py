@@ -90,10 +90,11 @@ class _Tally:
             self.held += len(tokens)
 
     def report(self) -> list[tuple[int, int]] | None:
-        flat = np.sort(np.concatenate(self.sets)) if self.sets else np.empty(0, np.uint64)
+        flat = np.concatenate(self.sets) if self.sets else np.empty(0, np.uint64)
         self.seen.clear()
         self.sets.clear()
         self.held = 0
+        flat.sort()
         before = flat[: max(0, len(flat) - self.often + 1)]
         token = np.unique(before[before == flat[self.often - 1 :]])
         held = np.searchsorted(flat, token, "right") - np.searchsorted(flat, token, "left")
@@ -176,6 +177,8 @@ def _pack(docs: DataFrame, words: int, bits: int, hot: np.ndarray) -> DataFrame:
                 often = hot[at] == tokens
                 rows += [(-1 - batch, batch, at[often].astype(np.uint32).tobytes(), owner[often].tobytes(), b"")]
                 tokens, owner = tokens[~often], owner[~often]
+                del at, often
+            del order
             bucket, low = (tokens >> np.uint64(48)).astype(np.int64), tokens & np.uint64((1 << 48) - 1)
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
             rows += [(int(bucket[a]), batch, _planes(low[a:z]), owner[a:z].tobytes(), None) for a, z in zip(cuts[:-1], cuts[1:], strict=True) if z > a]
