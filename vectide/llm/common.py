@@ -99,6 +99,24 @@ def tidy() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+_kept: list[dict] = []
+
+
+def kept_between_tasks() -> dict:
+    """A dict for what an operator's tasks leave in a Python worker for the next ones."""
+    _kept.append({})
+    return _kept[-1]
+
+
+def only(own: dict | None = None) -> None:
+    """As a task begins: let go of what tasks of other operators have left, as one worker serves all stages in turn."""
+    others = [x for x in _kept if x is not own and x]
+    for x in others:
+        x.clear()
+    if others:
+        tidy()
+
+
 def ident(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 

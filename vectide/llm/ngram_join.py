@@ -169,8 +169,11 @@ def _pack(docs: DataFrame, words: int, bits: int, hot: np.ndarray) -> DataFrame:
             batch = (part << 24) + made
             sizes = np.array([len(s) for s in sets], np.int64)
             tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.uint16), sizes)
+            sets.clear()
             order = np.argsort(tokens)
-            tokens, owner = tokens[order] >> np.uint64(16 - bits), owner[order]
+            tokens, owner = tokens[order], owner[order]
+            del order
+            tokens >>= np.uint64(16 - bits)
             rows = [(-1 - batch, batch, b"".join(classes), sizes.tobytes(), None)]
             if len(hot):
                 at = np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)
@@ -178,12 +181,11 @@ def _pack(docs: DataFrame, words: int, bits: int, hot: np.ndarray) -> DataFrame:
                 rows += [(-1 - batch, batch, at[often].astype(np.uint32).tobytes(), owner[often].tobytes(), b"")]
                 tokens, owner = tokens[~often], owner[~often]
                 del at, often
-            del order
             bucket, low = (tokens >> np.uint64(48)).astype(np.int64), tokens & np.uint64((1 << 48) - 1)
+            del tokens
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
             rows += [(int(bucket[a]), batch, _planes(low[a:z]), owner[a:z].tobytes(), None) for a, z in zip(cuts[:-1], cuts[1:], strict=True) if z > a]
             classes.clear()
-            sets.clear()
             return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _PACKED, strict=True)], schema=_PACKED)
 
         for b in batches:

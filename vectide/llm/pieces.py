@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectide.llm.common import ident, tidy
+from vectide.llm.common import ident, kept_between_tasks, only, tidy
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -32,7 +32,7 @@ MEMO = 120_000
 LONG_UNIT = 64
 
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-_loaded: dict = {}
+_loaded = kept_between_tasks()
 
 
 class Codec:
@@ -125,6 +125,7 @@ class Codec:
 
 def load(path: str | None) -> Codec:
     """The codec of this worker; None stands for the public 32k vocabulary."""
+    only(_loaded)
     if path not in _loaded:
         import sentencepiece
 

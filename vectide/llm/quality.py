@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from vectide.llm.common import free_name, ident, saved, tidy
+from vectide.llm.common import free_name, ident, only, saved, tidy
 
 FEATURES = 256
 RIDGE = 1e-3
@@ -106,6 +106,7 @@ def text_statistics(texts: pa.Array) -> pa.Array:
     """The statistics of each text; a null text counts as empty."""
     from vectide.llm.quality import statistics as own
 
+    only()
     offsets, values = np.arange(len(texts) + 1, dtype=np.int32) * STATISTICS, np.empty((len(texts), STATISTICS), np.float32)
     for k in range(0, len(texts), 512):
         part = texts.slice(k, 512)

@@ -12,11 +12,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 1 << 20
+from vectide.llm.common import kept_between_tasks, only
+
+#: Bytes hashed at a time: about 50 bytes of a worker's memory for each.
+PIECE_BYTES = 1 << 18
 #: Rows whose texts are laid out for numpy at a time; bounds a worker's memory whatever the batch size.
 SLICE_ROWS = 512
 _MULT = np.uint64(0x9E3779B97F4A7C15)
-_tables: dict = {}
+_tables = kept_between_tasks()
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -99,6 +102,7 @@ def _long_words(raw: np.ndarray) -> np.ndarray:
 
 def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text; a text with fewer than k words has its whole sequence as one, one without words none."""
+    only(_tables)
     for at in range(0, len(texts), SLICE_ROWS):
         yield from _sets_of_slice(texts.slice(at, SLICE_ROWS), k)
 
